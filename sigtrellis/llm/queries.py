@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sigtrellis.llm import decontam, tokens, toxicity
+from sigtrellis.llm import decontam, linededup, tokens, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,7 +15,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontam.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("spans")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(read(spark, sf_dir, "documents")).drop("dropped")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +30,33 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_decontamination, op8_token_counts, op10_toxicity)}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_decontamination, op5_line_dedup, op8_token_counts, op10_toxicity)}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+ORACLE: dict[str, str] = {
+    "op3_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+        b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+        cut AS (SELECT item_id, least(10, len(ws)) AS n, ws, unnest(range(greatest(1, len(ws) - 9))) AS i FROM b WHERE len(ws) > 0),
+        win AS (SELECT DISTINCT item_id, n, array_to_string(ws[i + 1 : i + n], ' ') AS gram FROM cut),
+        place AS (SELECT doc_id, ws, s.n, unnest(range(len(ws) - s.n + 1)) AS i FROM d, (SELECT DISTINCT n FROM win) s WHERE len(ws) >= s.n),
+        seen AS (SELECT doc_id, i, n, array_to_string(ws[i + 1 : i + n], ' ') AS gram FROM place),
+        hit AS (SELECT DISTINCT doc_id, i, n, item_id FROM seen JOIN win USING (n, gram)),
+        word AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+        item AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+            sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)""",
+    "op5_line_dedup": f"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        l AS (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM d),
+        k AS (SELECT *, translate(trim(line, {_BLANKS}), '{_UPPER}', '{_LOWER}') AS k FROM l),
+        bad AS (SELECT k, max(doc_id) AS keeper FROM k WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5)
+        SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE keeper <> doc_id) AS BIGINT) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE keeper IS NULL OR keeper = doc_id), '')) AS kept_sha256
+        FROM k LEFT JOIN bad USING (k) GROUP BY doc_id""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
