@@ -19,12 +19,10 @@ whose doc_id is null are never counted as documents nor cleaned.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigtrellis.llm.session import checkpoint_dir
+from sigtrellis.llm.session import table
 
 LEAST_LENGTH = 40
 LEAST_DOCUMENTS = 5
@@ -82,10 +80,7 @@ def _is_dropped(dropped: Column, position: Column) -> Column:
 
 def with_kept(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """Columns row (struct of docs' columns), kept (array of lines, null if all are kept) and dropped (the bitmap or null)."""
-    spark = docs.sparkSession
-    path = f"{checkpoint_dir(spark)}/long-lines-{uuid.uuid4().hex}"
-    long_lines(docs).write.parquet(path)
-    maps = bitmaps(spark.read.parquet(path), least)
+    maps = bitmaps(table(long_lines(docs), "long-lines"), least)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_version"))
     joined = packed.join(maps.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), "dropped"), ["_doc", "_version"], "left")
     kept = F.when(F.col("dropped").isNotNull(), F.filter(lines(F.col("row.text")), lambda _, i: ~_is_dropped(F.col("dropped"), i)))
