@@ -3,12 +3,13 @@
 Bytes are held as characters of ISO-8859-1, so that pieces of bytes are strings.
 Each match of the pattern is one word; a word found among the ranks is one token,
 any other is folded: its bytes start as single pieces, and each step joins the
-leftmost pair of least rank, until no neighbouring pair has a rank. Ranks are one
-literal array of small maps, addressed by the CRC-32 of a piece.
+leftmost pair of least rank, until no neighbouring pair has a rank. The rank
+map is one literal array of cells, addressed by the CRC-32 of a piece.
 
-Words that occur most often over all documents are folded once and kept in a
-second literal of the same kind, of at most ``remembered`` words; every other word
-is folded where it stands. That literal changes speed only, never ids.
+The words that occur most often over all documents, at most ``remembered``, are
+folded once each and become a second literal of the same kind; any other word is
+folded where it stands. That literal changes speed only, never ids, and its size is
+bounded.
 
 Decoding looks the pieces up in a literal array, joins them and restores bytes.
 
@@ -18,18 +19,21 @@ Null or empty text has no ids and decodes to no bytes. Repeated rows stay repeat
 from __future__ import annotations
 
 import base64
-import json
 import re
 import zlib
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigtrellis.llm.session import table
+
 #: Words encoded in advance, at most; each is at most LONGEST_WORD characters.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 LONGEST_WORD = 40
-_BUCKETS = 1 << 15
+_BUCKETS = 1 << 17
+#: Private-use characters that separate keys, values and cells; words that hold one are never remembered.
+_IS, _NEXT, _CELL = "\ue000", "\ue001", "\ue002"
 #: Unicode white space, which the pattern's \s means and Java's doesn't.
 _SPACE = r"\t-\r \x85\xA0  -     　"
 
@@ -48,19 +52,19 @@ def ranks(path: str) -> list[str]:
     return [found[i] for i in range(len(found))]
 
 
-def _maps(values: dict[str, object], kind: str) -> Column:
-    """A literal array of maps with every key in the map that its CRC-32 names."""
-    cells: dict[int, dict] = defaultdict(dict)
+def _literal(values: dict[str, str]) -> Column:
+    """A literal array of strings; the CRC-32 of a key names the string that has the key with its value."""
+    cells: dict[int, list[str]] = defaultdict(list)
     for k, v in values.items():
-        cells[zlib.crc32(k.encode("utf-8")) % _BUCKETS][k] = v
-    text = json.dumps([cells.get(i, {}) for i in range(_BUCKETS)], separators=(",", ":"))
-    return F.from_json(F.lit(text), f"array<map<string,{kind}>>")
+        cells[zlib.crc32(k.encode("utf-8")) % _BUCKETS].append(f"{k}{_IS}{v}{_NEXT}")
+    return F.split(F.lit(_CELL.join(_NEXT + "".join(cells.get(i, ())) for i in range(_BUCKETS))), _CELL)
 
 
-def _find(maps: Column, piece: Column) -> Column:
-    """What the literal has for a piece, or null."""
-    cell = F.element_at(maps, (F.crc32(piece.cast("binary")) % _BUCKETS + 1).cast("int"))
-    return F.try_element_at(cell, piece)
+def _find(cells: Column, key: Column) -> Column:
+    """The value of a key, or null. No key may hold the three marks."""
+    cell = F.get(cells, (F.crc32(key.cast("binary")) % _BUCKETS).cast("int"))
+    # without the key the cell stays whole, and nothing stands before its first mark
+    return F.nullif(F.substring_index(F.call_function("substring_index", cell, F.concat(F.lit(_NEXT), key, F.lit(_IS)), F.lit(-1)), _NEXT, 1), F.lit(""))
 
 
 def _let(value: Column, body) -> Column:
@@ -71,13 +75,16 @@ def _let(value: Column, body) -> Column:
 def fold(word: Column, rank: Column) -> Column:
     """The ids of one word, an ISO-8859-1 string, by merges in order of rank."""
 
+    def cost(piece: Column) -> Column:
+        return _find(rank, piece).cast("int")
+
     def step(state: Column, _: Column) -> Column:
         def merge(best: Column) -> Column:
             def at(i: Column) -> Column:
                 pieces, costs = state["pieces"], state["costs"]
                 new = F.concat(F.get(pieces, i - 1), F.get(pieces, i))
-                left = F.when(i > 1, F.array(_find(rank, F.concat(F.get(pieces, i - 2), new)))).otherwise(F.array().cast("array<int>"))
-                right = F.when(i + 1 < F.size(pieces), F.array(_find(rank, F.concat(new, F.get(pieces, i + 1))))).otherwise(F.array().cast("array<int>"))
+                left = F.when(i > 1, F.array(cost(F.concat(F.get(pieces, i - 2), new)))).otherwise(F.array().cast("array<int>"))
+                right = F.when(i + 1 < F.size(pieces), F.array(cost(F.concat(new, F.get(pieces, i + 1))))).otherwise(F.array().cast("array<int>"))
                 before = F.greatest(i - 2, F.lit(0))
                 return F.struct(
                     F.concat(F.slice(pieces, 1, i - 1), F.array(new), F.slice(pieces, i + 2, F.size(pieces))).alias("pieces"),
@@ -89,10 +96,53 @@ def fold(word: Column, rank: Column) -> Column:
         return _let(F.array_min(state["costs"]), merge)
 
     def run(pieces: Column) -> Column:
-        costs = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda p, i: _find(rank, F.concat(F.get(pieces, i), p)))
+        costs = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda p, i: cost(F.concat(F.get(pieces, i), p)))
         start = F.struct(pieces.alias("pieces"), costs.alias("costs"))
         merged = F.aggregate(F.slice(pieces, 2, F.size(pieces)), start, step, lambda s: s["pieces"])
-        return F.transform(merged, lambda p: _find(rank, p))
+        return F.transform(merged, cost)
 
-    whole = _find(rank, word)
+    whole = cost(word)
     return F.when(whole.isNotNull(), F.array(whole)).otherwise(_let(F.split(word, ""), run))
+
+
+def _pretokens(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
+
+
+def _folded(word: Column, rank: Column) -> Column:
+    """The ids of a word of any characters, as decimals with spaces between."""
+    raw = F.decode(word.cast("binary"), "ISO-8859-1")
+    return F.array_join(F.transform(fold(raw, rank), lambda i: i.cast("string")), " ")
+
+
+def dictionary(docs: DataFrame, pattern: str, rank: Column, remembered: int = REMEMBERED) -> Column:
+    """The ids of the commonest words, of ``remembered`` at most, as a literal."""
+    words = docs.select(F.explode(_pretokens(F.col("text"), pattern)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    usable = (F.length("word") <= LONGEST_WORD) & ~F.rlike("word", F.lit(f"[{_IS}{_NEXT}{_CELL}]")) & (F.col("n") > 1)
+    common = table(words.where(usable).orderBy(F.desc("n"), "word").limit(remembered).select("word"), "words")
+    spread = common.repartition(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+    found = table(spread.select("word", _folded(F.col("word"), rank).alias("ids")), "word-ids").toPandas()
+    return _literal(dict(zip(found["word"], found["ids"])))
+
+
+def encode(docs: DataFrame, rank_path: str, pattern: str, remembered: int = REMEMBERED) -> DataFrame:
+    """doc_id and ids: decimal ids with one space between, for each row."""
+    rank = _literal({p: str(i) for i, p in enumerate(ranks(rank_path))})
+    known = dictionary(docs, pattern, rank, remembered)
+    words = _pretokens(F.col("text"), pattern)
+    ids = F.transform(words, lambda w: F.coalesce(_find(known, w), _folded(w, rank)))
+    return docs.select("doc_id", F.array_join(ids, " ").alias("ids"))
+
+
+def decode(ids: Column, rank_path: str) -> Column:
+    """The bytes that decimal ids with spaces between stand for."""
+    pieces = F.split(F.lit("\u0100".join(ranks(rank_path))), "\u0100")
+    named = F.when(ids != "", F.split(ids, " "))
+    return F.encode(F.coalesce(F.array_join(F.transform(named, lambda i: F.get(pieces, i.cast("int"))), ""), F.lit("")), "ISO-8859-1")
+
+
+def report(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row."""
+    out = encode(docs.select("doc_id", "text"), rank_path, pattern)
+    n = F.when(F.col("ids") == "", 0).otherwise(F.length("ids") - F.length(F.replace("ids", F.lit(" "), F.lit(""))) + 1).cast("long")
+    return out.select("doc_id", n.alias("n_tokens"), F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"), F.sha2(decode(F.col("ids"), rank_path), 256).alias("decoded_sha256"))
