@@ -52,7 +52,7 @@ _MARK = re.compile(r"[!?.,;:*#$%&@]")
 _INNER = re.compile(r"[@$!|+*€]+(?=[^\W\d_])")
 _SINGLES = re.compile("1{3,}")
 _RUN = re.compile(r"[!?.,*#$%&@]{3,}")
-_REPEAT = re.compile(r"(.)\1+")
+_REPEAT = re.compile(r"(.)\1\1+")
 
 
 def is_held_out(doc_id):
@@ -64,7 +64,7 @@ class Lexicon(dict):
     """The weight of any word: what the lexicon gives it or its beginning, else 0.
 
     It is negative for a disguised word, whose weight is found only after undoing
-    character swaps or repeated letters. Remembers a bounded number of words.
+    character swaps or letters repeated three times and more. Remembers a bounded number of words.
     """
 
     MOST = 500_000
@@ -78,7 +78,9 @@ class Lexicon(dict):
 
     def disguised(self, word: str) -> float:
         letters = "".join(filter(str.isalpha, word.translate(SWAPS)))
-        return self.plain(letters) or self.plain(_REPEAT.sub(r"\1", letters)) if letters != word or _REPEAT.search(word) else 0.0
+        if letters == word and not _REPEAT.search(word):
+            return 0.0
+        return self.plain(letters) or self.plain(_REPEAT.sub(r"\1", letters)) or self.plain(_REPEAT.sub(r"\1\1", letters))
 
     def __missing__(self, word: str) -> float:
         w = self.plain(word) or -self.disguised(word)
