@@ -78,6 +78,23 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
             sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)""",
+    "op9_chat_format": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+        e AS (SELECT *, role = 'assistant' AS said, regexp_replace(text, '(\\*)(</?s>|\[/?INST\])', '\1\\\2', 'g') AS body FROM c),
+        p AS (SELECT *, '<s>' || CASE WHEN said THEN '' ELSE '[INST]' END || url_encode(role) || chr(10) AS head, CASE WHEN said THEN chr(10) || '</s>' ELSE chr(10) || '[/INST]</s>' END AS tail FROM e),
+        t AS (SELECT conv_id, role, text, said, length(head || body || tail) AS size, len(regexp_extract_all(head || body, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) AS tokens,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM p),
+        s AS (SELECT *, max(CASE WHEN place = 1 AND role = 'system' THEN tokens END) OVER (PARTITION BY conv_id) AS sys, max(CASE WHEN place = 1 AND role = 'system' THEN size END) OVER (PARTITION BY conv_id) AS sys_size FROM t),
+        a AS (SELECT *, CASE WHEN place = 1 AND sys IS NOT NULL THEN 0 ELSE tokens END AS counted, greatest(1024 - 256 - coalesce(sys, 0), 256) AS room FROM s),
+        b AS (SELECT *, coalesce(sum(counted) OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM a),
+        o AS (SELECT *, place = 1 OR (start * 2) // room <> lag((start * 2) // room) OVER w OR counted * 2 > room OR lag(counted * 2 > room) OVER w AS opens FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY place)),
+        h AS (SELECT o.conv_id, o.place, sum(q.size) AS history FROM o JOIN o q ON q.conv_id = o.conv_id AND q.place BETWEEN o.place - 8 AND o.place - 1
+            AND o.start - q.start <= 256 AND NOT (q.place = 1 AND q.sys IS NOT NULL) WHERE o.opens GROUP BY ALL)
+        SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (WHERE said), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE said), '')) AS loss_sha256,
+            CAST(sum(size + CASE WHEN opens AND place > 1 THEN coalesce(sys_size, 0) ELSE 0 END + coalesce(history, 0)) AS BIGINT) AS formatted_chars
+        FROM o LEFT JOIN h USING (conv_id, place) GROUP BY conv_id""",
     "op5_line_dedup": f"""
         WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
         l AS (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM d),
