@@ -62,9 +62,10 @@ def trimmed_deviation(signal: DataFrame, k: float = 3.0, channel: str = "ch", ro
         kept = signal.join(now, channel).where(F.abs(F.col("v") - F.col("_m")) <= k * F.col("_d"))
         new = moments(kept).select(channel, F.col("_m").alias("_m2"), F.col("_d").alias("_d2"))
         both = now.join(new, channel).persist()
-        moved = both.where(F.abs(F.col("_d") - F.col("_d2")) > tolerance * F.col("_d")).isEmpty()
+        # a count, so that every partition of the kept table is computed once
+        moved = both.agg(F.count_if(F.abs(F.col("_d") - F.col("_d2")) > tolerance * F.col("_d"))).first()[0]
         now = both.select(channel, F.col("_m2").alias("_m"), F.col("_d2").alias("_d"))
-        if moved:
+        if not moved:
             break
     return now.select(channel, F.col("_d").alias("deviation"))
 

@@ -80,14 +80,15 @@ def local_zca(covariance: np.ndarray, neighbours: Sequence[Sequence[int]], epsil
 def _assign(points: DataFrame, centres: np.ndarray) -> DataFrame:
     """points with label and d2 to the nearest centre, ties to the lower."""
 
-    @F.pandas_udf("struct<label:int,d2:double>")
-    def nearest(x: pd.Series) -> pd.DataFrame:
-        m = np.stack(x.to_list()) if len(x) else np.zeros((0, centres.shape[1]))
-        d = np.stack([((m - c) ** 2).sum(1) for c in centres], axis=1)
-        at = d.argmin(1)
-        return pd.DataFrame({"label": at.astype("int32"), "d2": d[np.arange(len(d)), at]})
-
-    return points.withColumn("_n", nearest("x")).select(*points.columns, F.col("_n.label").alias("label"), F.col("_n.d2").alias("d2"))
+    def nearest(batches):
+        for batch in batches:
+            m = np.stack(batch["x"].to_list()) if len(batch) else np.zeros((0, centres.shape[1]))
+            d = np.stack([((m - c) ** 2).sum(1) for c in centres], axis=1)
+            at = d.argmin(1)
+            yield batch.assign(label=at.astype("int32"), d2=d[np.arange(len(d)), at])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema)
+    return points.mapInPandas(nearest, f"{kinds}, label int, d2 double")
 
 
 def cluster_sums(points: DataFrame) -> DataFrame:

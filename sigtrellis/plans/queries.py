@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sigtrellis.catalog import register
 from sigtrellis.functions import design, stats, trains
-from sigtrellis.operators import blocks, channels, events, points, temporal
+from sigtrellis.operators import blocks, channels, clusters, detection, events, points, temporal, waveforms
 from sigtrellis.plans import curation, pipeline, views
 
 HOUR = 3_600_000_000
@@ -628,3 +628,94 @@ def curation_replay(spark: SparkSession, sf: str) -> DataFrame:
 def polygon_split(spark: SparkSession, sf: str) -> DataFrame:
     p = labelled(spark, sf).select("id", F.get("x", 0).alias("a"), F.get("x", 1).alias("b"))
     return curation.in_polygon(p, "a", "b", [(-0.1, -0.1), (0.1, -0.1), (0.1, 0.2), (-0.1, 0.2)]).select("id")
+
+
+# detectors, waveforms, clusters
+
+def _long(spark: SparkSession, sf: str) -> DataFrame:
+    return channels.to_long(frames(spark, sf)).select(F.col("ch").cast("long").alias("ch"), "s", "v")
+
+
+@register("find_peaks")
+def find_peaks(spark: SparkSession, sf: str) -> DataFrame:
+    return detection.find_peaks(signal(spark, sf), height=30.0, distance=3, prominence=20.0, width=0.5)
+
+
+@register("energy_spikes")
+def energy_spikes(spark: SparkSession, sf: str) -> DataFrame:
+    return detection.energy_spikes(_long(spark, sf), 3.0, 10)
+
+
+@register("adaptive_spikes")
+def adaptive_spikes(spark: SparkSession, sf: str) -> DataFrame:
+    return detection.adaptive_spikes(_long(spark, sf), 100, 0.2, 1.5, 10)
+
+
+@register("matched_spikes")
+def matched_spikes(spark: SparkSession, sf: str) -> DataFrame:
+    return detection.matched_spikes(_dense(spark, sf), detection.prototype(20, 20000.0), 2.0, 10)
+
+
+@register(
+    "noise_levels",
+    f"WITH k AS (SELECT unnest([0, 1, 2]) AS k, unnest([0, 200, 400]) AS a), n AS (SELECT ch, k, list_sort(list(abs(v)))[CAST(count(*) // 2 + 1 AS BIGINT)] / {stats.NORMAL_QUARTILE}::DOUBLE AS sigma FROM {_LONG} JOIN k ON s >= a AND s < a + 100 GROUP BY ch, k) SELECT CAST(ch AS BIGINT) AS ch, round(quantile_cont(sigma, 0.5), 6) AS sigma FROM n GROUP BY ch",
+)
+def noise_levels(spark: SparkSession, sf: str) -> DataFrame:
+    return detection.noise_levels(_long(spark, sf), 100, 3, 500).select("ch", F.round("sigma", 6).alias("sigma"))
+
+
+@register("detection_pipeline")
+def detection_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    sites = spark.range(64).select("id", F.floor(F.col("id") / 8).cast("double").alias("x"), (F.col("id") % 8).cast("double").alias("y"), F.lit(0.0).alias("z")).withColumnRenamed("id", "ch")
+    return detection.detect(_long(spark, sf), sites, 500, 1000.0, factor=2.0, radius=1.5, before=5, after=10, chunk_s=0.1)["templates"]
+
+
+def _templates(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean vectors of the labels as waveforms of 16 samples on 4 channels."""
+    cut = points.centroids(labelled(spark, sf)).select(F.col("label").alias("unit"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("ch"), "c")
+    return cut.select("unit", "ch", F.slice("c", F.col("ch") * 16 + 1, F.lit(16)).alias("w"))
+
+
+@register("template_similarity")
+def template_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    return waveforms.similarity(_templates(spark, sf), 2)
+
+
+@register("top_channels", f"WITH p AS (SELECT label AS unit, CAST((i - 1) // 16 AS INT) AS ch, max(m) - min(m) AS ptp FROM {_MEANS} GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY ptp DESC, ch) AS r FROM p) SELECT unit, ch, round(ptp, 6) AS ptp FROM r WHERE r <= 2")
+def top_channels(spark: SparkSession, sf: str) -> DataFrame:
+    return waveforms.top_channels(_templates(spark, sf), 2).select("unit", "ch", F.round(waveforms.peak_to_peak(F.col("w")), 6).alias("ptp"))
+
+
+@register("morphology")
+def morphology(spark: SparkSession, sf: str) -> DataFrame:
+    return _templates(spark, sf).select("unit", "ch", waveforms.morphology(F.col("w")).alias("m")).select("unit", "ch", "m.*")
+
+
+@register("matching_pursuit")
+def matching_pursuit(spark: SparkSession, sf: str) -> DataFrame:
+    return waveforms.matching_pursuit(_long(spark, sf), {1: detection.prototype(20, 20000.0).tolist()}, 0, 0.3, 128)
+
+
+@register("monopolar_triangulation")
+def monopolar_triangulation(spark: SparkSession, sf: str) -> DataFrame:
+    amp = points.centroids(labelled(spark, sf)).select(F.col("label").alias("unit"), F.posexplode("c").alias("ch", "amp"))
+    return waveforms.monopoles(amp, {i: (20.0 * (i // 8), 20.0 * (i % 8)) for i in range(64)})
+
+
+@register("hdbscan")
+def hdbscan(spark: SparkSession, sf: str) -> DataFrame:
+    mean, components, _ = points.pca(labelled(spark, sf), 3)
+    flat = points.project(labelled(spark, sf), mean, components).select("id", F.col("y").alias("x"))
+    return clusters.hdbscan(flat, 5).select("id", "label")
+
+
+@register("graph_clustering")
+def graph_clustering(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.label_propagation(labelled(spark, sf).select("id", "x"), 8).select("id", "label")
+
+
+@register("fast_ica")
+def fast_ica(spark: SparkSession, sf: str) -> DataFrame:
+    p = labelled(spark, sf)
+    w = clusters.fast_ica(p, 3)
+    return points.project(p, np.zeros(w.shape[1]), w).select("id", "y")
