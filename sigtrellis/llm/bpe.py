@@ -3,13 +3,14 @@
 Bytes are held as characters of ISO-8859-1, so that pieces of bytes are strings.
 Each match of the pattern is one word; a word found among the ranks is one token,
 any other is folded: its bytes start as single pieces, and each step joins the
-leftmost pair of least rank, until no neighbouring pair has a rank. The rank
-map is one literal array of cells, addressed by the CRC-32 of a piece.
+leftmost pair of least rank, until no neighbouring pair has a rank. The rank map is
+one literal array of cells, addressed by the CRC-32 of a piece.
 
-The words that occur most often over all documents, at most ``remembered``, are
-folded once each and become a second literal of the same kind; any other word is
-folded where it stands. That literal changes speed only, never ids, and its size is
-bounded.
+The distinct words of all documents are counted, and the commonest, at most
+``remembered``, are folded once each; executors get their ids as a dictionary of
+that bounded size. A text is cut into runs of their ids and the words that aren't
+among them, which are folded where they stand. The dictionary changes speed only,
+never ids.
 
 Decoding looks the pieces up in a literal array, joins them and restores bytes.
 
@@ -21,9 +22,12 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigtrellis.llm.session import table
@@ -31,15 +35,15 @@ from sigtrellis.llm.session import table
 #: Words encoded in advance, at most; each is at most LONGEST_WORD characters.
 REMEMBERED = 500_000
 LONGEST_WORD = 40
-_BUCKETS = 1 << 17
-#: Private-use characters that separate keys, values and cells; words that hold one are never remembered.
-_IS, _NEXT, _CELL = "\ue000", "\ue001", "\ue002"
-#: Unicode white space, which the pattern's \s means and Java's doesn't.
-_SPACE = r"\t-\r \x85\xA0  -     　"
+_BUCKETS = 1 << 14
+#: Private-use characters that separate keys, values and cells, and a mark before words still to be folded; no ISO-8859-1 string has them.
+_IS, _NEXT, _CELL, _RAW = "\ue000", "\ue001", "\ue002", "\ue003"
+#: Unicode white space, which the pattern's \s means.
+_SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def java_pattern(pattern: str) -> str:
-    """The same pattern with \\s and \\S spelled out as Unicode white space."""
+def spelled_out(pattern: str) -> str:
+    """The same pattern with \\s and \\S as the white space of Unicode, whatever a library takes them for."""
     inside = re.sub(r"\[\^([^\]]*)\\s([^\]]*)\]", lambda m: f"[^{m[1]}{_SPACE}{m[2]}]", pattern)
     return inside.replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]")
 
@@ -105,33 +109,68 @@ def fold(word: Column, rank: Column) -> Column:
     return F.when(whole.isNotNull(), F.array(whole)).otherwise(_let(F.split(word, ""), run))
 
 
-def _pretokens(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
+def _joined(word: Column, rank: Column) -> Column:
+    """The ids of an ISO-8859-1 word as decimals with spaces between."""
+    return F.array_join(F.transform(fold(word, rank), lambda i: i.cast("string")), " ")
 
 
-def _folded(word: Column, rank: Column) -> Column:
-    """The ids of a word of any characters, as decimals with spaces between."""
-    raw = F.decode(word.cast("binary"), "ISO-8859-1")
-    return F.array_join(F.transform(fold(raw, rank), lambda i: i.cast("string")), " ")
+def counts(docs: DataFrame, pattern: str) -> DataFrame:
+    """word and n, summed over each batch before they are shuffled."""
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find = regex.compile(spelled_out(pattern)).findall
+        for batch in batches:
+            seen: Counter = Counter()
+            for text in batch["text"]:
+                seen.update(find(text))
+            yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
 
-def dictionary(docs: DataFrame, pattern: str, rank: Column, remembered: int = REMEMBERED) -> Column:
-    """The ids of the commonest words, of ``remembered`` at most, as a literal."""
-    words = docs.select(F.explode(_pretokens(F.col("text"), pattern)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    usable = (F.length("word") <= LONGEST_WORD) & ~F.rlike("word", F.lit(f"[{_IS}{_NEXT}{_CELL}]")) & (F.col("n") > 1)
-    common = table(words.where(usable).orderBy(F.desc("n"), "word").limit(remembered).select("word"), "words")
+    return docs.select(F.col("text").cast("string")).where(F.col("text") != "").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def dictionary(docs: DataFrame, pattern: str, rank: Column, remembered: int = REMEMBERED) -> dict[str, str]:
+    """The ids of the commonest words, of ``remembered`` at most."""
+    usable = (F.length("word") <= LONGEST_WORD) & (F.col("n") > 1)
+    common = table(counts(docs, pattern).where(usable).orderBy(F.desc("n"), "word").limit(remembered).select("word"), "words")
     spread = common.repartition(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
-    found = table(spread.select("word", _folded(F.col("word"), rank).alias("ids")), "word-ids").toPandas()
-    return _literal(dict(zip(found["word"], found["ids"])))
+    raw = F.decode(F.col("word").cast("binary"), "ISO-8859-1")
+    found = table(spread.select("word", _let(rank, lambda r: _joined(raw, r)).alias("ids")), "word-ids").toPandas()
+    return dict(zip(found["word"], found["ids"]))
+
+
+def cutter(spark: SparkSession, known: dict[str, str], pattern: str):
+    """A Pandas UDF from text to runs of known ids and, behind a mark, the bytes of other words."""
+    shared = spark.sparkContext.broadcast(known)
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        find, ids_of, out = regex.compile(spelled_out(pattern)).findall, shared.value.get, []
+        for text in texts:
+            parts, run = [], []
+            for word in find(text) if text else ():
+                ids = ids_of(word)
+                if ids is not None:
+                    run.append(ids)
+                    continue
+                if run:
+                    parts.append(" ".join(run))
+                    run = []
+                parts.append(_RAW + word.encode("utf-8").decode("latin-1"))
+            if run:
+                parts.append(" ".join(run))
+            out.append(parts)
+        return pd.Series(out, dtype=object)
+
+    return cut
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id and ids: decimal ids with one space between, for each row."""
     rank = _literal({p: str(i) for i, p in enumerate(ranks(rank_path))})
-    known = dictionary(docs, pattern, rank, remembered)
-    words = _pretokens(F.col("text"), pattern)
-    ids = F.transform(words, lambda w: F.coalesce(_find(known, w), _folded(w, rank)))
-    return docs.select("doc_id", F.array_join(ids, " ").alias("ids"))
+    known = dictionary(docs, pattern, rank, remembered) if remembered else {}
+    cut = docs.select("doc_id", cutter(docs.sparkSession, known, pattern)(F.col("text").cast("string")).alias("parts"))
+    ids = _let(rank, lambda r: F.transform("parts", lambda p: F.when(F.startswith(p, F.lit(_RAW)), _joined(F.substr(p, F.lit(2)), r)).otherwise(p)))
+    return cut.select("doc_id", F.array_join(ids, " ").alias("ids"))
 
 
 def decode(ids: Column, rank_path: str) -> Column:
