@@ -10,10 +10,12 @@ within a band around the diagonal, has at least 0.8 of the words of the longer o
 Classes are the connected components of verified pairs.
 
 Equal word sequences are one node from the start, so copies never make pairs. In
-each bucket of a sketch, every node is first compared with the least node (linear
-in the bucket). Only nodes that are then still outside the class of their least
-node are compared with the other classes of that bucket, where lengths and a second,
-orderless sketch allow the similarity; nothing is capped. Pairs and classes are
+each bucket of a sketch, every node is compared with the least node (linear in the
+bucket), for a few sketches first, then for all others where that node isn't in its
+class yet. Only nodes that are then still outside the class of a least node are
+compared with the other classes of that bucket, where lengths, a second, orderless
+sketch and counts of words (a bound that no similar pair fails) allow the
+similarity; nothing is capped. Pairs and classes are
 tables in the shared folder at every step; nothing but their counts comes to the
 driver.
 
@@ -39,8 +41,12 @@ from sigtrellis.llm.session import table
 K = 5
 MINIMA = 3
 SKETCHES = 24
+#: Sketches whose buckets are compared first; members of a class that these find aren't compared again.
+FIRST_SKETCHES = 4
 SIMILARITY = 0.8
 SLOTS = 64
+#: Cells that a text's words are counted in, for a bound on what two texts have in common.
+CELLS = 256
 #: An orderless estimate under this rules a pair out when buckets are searched again.
 LEAST_ESTIMATE = 0.3
 _SPACES = bytes(b if 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -153,6 +159,11 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["node", "ids"])
 
 
+def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"node": batch["node"], "bag": [np.bincount(np.frombuffer(x, dtype=np.uint32) % CELLS, minlength=CELLS).astype(np.int32) for x in batch["ids"]]})
+
+
 def verifier(least: float):
     @F.pandas_udf("double")
     def verify(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -192,39 +203,54 @@ def _estimate(a: Column, b: Column) -> Column:
     return total["same"] / total["filled"]
 
 
+def _overlap(a: Column, b: Column) -> Column:
+    """Words that two bags can have in common at most; no common subsequence is longer."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, v: s + v)
+
+
 def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """The rows' nodes (doc_id, node, n, ...), and the class of every linked node (node, label)."""
     rows = table(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_sketched, _SCHEMA), "sketches")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("slots").alias("slots"))
     nodes = table(nodes, "nodes")
-    placed = nodes.select("node", "n", F.explode("keys").alias("key"))
+    placed = nodes.select("node", "n", F.posexplode("keys").alias("sketch", "key"))
     shared = placed.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1).select("key", "leader")
-    buckets = table(placed.join(shared, "key"), "buckets")
-    stars = table(buckets.where(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    buckets = table(placed.join(table(shared, "shared"), "key"), "buckets")
     needed = buckets.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).join(needed, "doc_id").select("node", "text")
     ids = table(texts.mapInPandas(_read, "node binary, ids binary").dropDuplicates(["node"]), "texts")
-    edges = _verified(stars, ids, least, "verified-stars")
+    followers = buckets.where(F.col("node") != F.col("leader"))
+    stars = followers.where(F.col("sketch") < FIRST_SKETCHES).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    edges = _verified(table(stars, "stars"), ids, least, "verified-stars")
     labels = components(edges, "first")
-    # nodes that aren't in the class of their bucket's leader, against the other classes of the bucket
-    named = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = named.join(labels.select(F.col("node").alias("leader"), F.col("label").alias("leading")), "leader", "left").withColumn("leading", F.coalesce("leading", "leader"))
-    named = table(named.where(F.col("node") != F.col("leader")).join(nodes.select("node", "slots"), "node"), "classed")
-    open_ = named.where(F.col("label") != F.col("leading")).select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("slots").alias("sa"))
-    other = named.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("slots").alias("sb"), (F.col("label") != F.col("leading")).alias("open"))
+    # of the other sketches, leaders against those that aren't in their class yet
+    apart = _classed(followers, labels).where(F.col("label") != F.col("leading"))
+    more = _verified(table(apart.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "more-stars"), ids, least, "verified-more")
+    if not more.isEmpty():
+        edges = edges.unionByName(more)
+        labels = components(edges, "second")
+    # nodes that still aren't in the class of their bucket's leader, against the other classes of the bucket
+    named = table(_classed(followers, labels).join(nodes.select("node", "slots"), "node").join(ids.mapInPandas(_bags, "node binary, bag array<int>"), "node"), "classed")
+    open_ = named.where(F.col("label") != F.col("leading")).select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("slots").alias("sa"), F.col("bag").alias("ba"))
+    other = named.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("slots").alias("sb"), F.col("bag").alias("bb"), (F.col("label") != F.col("leading")).alias("open"))
     fits = (F.col("la") != F.col("lb")) & (~F.col("open") | (F.col("a") < F.col("b"))) & (F.least("na", "nb") >= least * F.greatest("na", "nb")) & (_estimate(F.col("sa"), F.col("sb")) >= LEAST_ESTIMATE)
+    fits = fits & (_overlap(F.col("ba"), F.col("bb")) >= least * F.greatest("na", "nb"))
     again = open_.alias("o").join(other.alias("p"), (F.col("o.key") == F.col("p.key")) & fits).select("a", "b").distinct()
-    more = _verified(table(again, "again"), ids, least, "verified-again")
-    if more.isEmpty():
-        return rows, labels
-    return rows, components(edges.unionByName(more), "second")
+    last = _verified(table(again, "again"), ids, least, "verified-again")
+    return rows, labels if last.isEmpty() else components(edges.unionByName(last), "third")
+
+
+def _classed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows (node, leader) with the classes of both: label and leading; a node without links is its own class."""
+    named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return named.join(labels.select(F.col("node").alias("leader"), F.col("label").alias("leading")), "leader", "left").withColumn("leading", F.coalesce("leading", "leader"))
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id and class_id (the least doc_id of its class) for each row."""
     rows, labels = links(docs, least)
     named = rows.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
-    least_id = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    least_id = table(named.groupBy("label").agg(F.min("doc_id").alias("class_id")), "class-ids")
     own = named.join(least_id, "label").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     return every.join(own, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
