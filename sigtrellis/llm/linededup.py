@@ -62,7 +62,7 @@ def bitmaps(held: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
 
     dropped maps the number of a 64-line word to its bits; words without a line to drop are left out.
     """
-    lost = held.join(shared_keys(held, least), ["a", "b"]).where(F.col("doc_id") < F.col("keeper"))
+    lost = held.join(table(shared_keys(held, least), "shared-keys"), ["a", "b"]).where(F.col("doc_id") < F.col("keeper"))
     places = lost.groupBy("doc_id", "version").agg(F.collect_set("position").alias("places"))
 
     def word(w: Column) -> Column:
