@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from sigtrellis.llm.session import table
 
 #: Words encoded in advance, at most; each is at most LONGEST_WORD characters.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 LONGEST_WORD = 40
 _BUCKETS = 1 << 14
 #: Private-use characters that separate keys, values and cells, and a mark before words still to be folded; no ISO-8859-1 string has them.
@@ -134,8 +134,8 @@ def dictionary(docs: DataFrame, pattern: str, rank: Column, remembered: int = RE
     common = table(counts(docs, pattern).where(usable).orderBy(F.desc("n"), "word").limit(remembered).select("word"), "words")
     spread = common.repartition(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
     raw = F.decode(F.col("word").cast("binary"), "ISO-8859-1")
-    found = table(spread.select("word", _let(rank, lambda r: _joined(raw, r)).alias("ids")), "word-ids").toPandas()
-    return dict(zip(found["word"], found["ids"]))
+    found = table(spread.select("word", _let(rank, lambda r: _joined(raw, r)).alias("ids")), "word-ids").toArrow()
+    return dict(zip(found["word"].to_pylist(), found["ids"].to_pylist()))
 
 
 def cutter(spark: SparkSession, known: dict[str, str], pattern: str):
