@@ -1,9 +1,13 @@
 """Near-duplicate classes by Order MinHash, verified by banded alignment of words.
 
 A text is its words, lower-cased (``\\w``-like: letters, digits and all bytes above
-ASCII). Its k-mers are runs of five words, each labelled with how often it occurred
-before. One sketch takes the three k-mers of least hash and keeps them in the order
-of the text, so that moved passages don't agree; a text has ``SKETCHES`` of them.
+ASCII). Its k-mers are runs of two words, each labelled with how often it occurred
+before. One sketch takes the three k-mers of least hash (two in short texts) and keeps
+them in the order of the text, so that moved passages don't agree; a text has
+``SKETCHES`` of them. Texts of about the limit's length have both kinds, since a pair
+may lie on either side of it. Texts of at most ``EXACT`` words also have a key for each
+sequence that is left when as many words are deleted as the similarity allows: two such
+texts that are similar always share one.
 
 Two texts are near duplicates if the longest common subsequence of their words,
 within a band around the diagonal, has at least 0.8 of the words of the longer one.
@@ -19,7 +23,7 @@ similarity; nothing is capped. Pairs and classes are
 tables in the shared folder at every step; nothing but their counts comes to the
 driver.
 
-Texts with fewer than five words have one k-mer, the whole text. Null texts and
+A text of one word has one k-mer, the whole text. Null texts and
 texts without a word are each alone in their class. Repeated rows share a class;
 a doc_id that has several texts takes the least of their classes. Rows whose doc_id
 is null are classed by their text, and a class without any doc_id has a null id.
@@ -28,8 +32,10 @@ is null are classed by their text, and a class without any doc_id has a null id.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -38,9 +44,13 @@ from pyspark.sql import functions as F
 
 from sigtrellis.llm.session import table
 
-K = 5
+K = 2
 MINIMA = 3
-SKETCHES = 24
+SKETCHES = 64
+#: Texts of fewer words have sketches of FEW minima: with three, few short texts of the least similarity would agree.
+SHORT, FEW = 40, 2
+#: Texts of up to so many words have keys by deletions, 106 at most.
+EXACT = 14
 #: Sketches whose buckets are compared first; members of a class that these find aren't compared again.
 FIRST_SKETCHES = 4
 SIMILARITY = 0.8
@@ -90,23 +100,48 @@ def kmers(ids: np.ndarray) -> np.ndarray:
     return s
 
 
-def sketch(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The SKETCHES keys, and the SLOTS parts (-1 if empty) of the orderless sketch."""
+def ordered(s: np.ndarray, minima: int = MINIMA) -> np.ndarray:
+    """The SKETCHES keys of k-mers."""
     keys = np.empty(SKETCHES, dtype=np.uint64)
-    few = min(MINIMA, len(s))
+    few = min(minima, len(s))
     step = max(1, 1_000_000 // len(s))
     for a in range(0, SKETCHES, step):
         z = _mix(s[None, :] ^ _SEEDS[a : min(a + step, SKETCHES), None])
         least = np.sort(np.argpartition(z, few - 1, axis=1)[:, :few], axis=1)
-        key = _SEEDS[a : a + len(z)].copy()
+        key = _SEEDS[a : a + len(z)] + np.uint64(minima)
         for j in range(few):
             key = _mix(key + s[least[:, j]] * _SEEDS[SKETCHES + j])
         keys[a : a + len(z)] = key
+    return keys.view(np.int64)
+
+
+def left_over(ids: np.ndarray, least: float) -> np.ndarray:
+    """A hash of each sequence that is left without as many words as ``least`` allows, or fewer."""
+    seen, most = {()}, len(ids) - math.ceil(least * len(ids) - 1e-9)
+    for gone in range(1, most + 1):
+        seen |= set(combinations(range(len(ids)), gone))
+    parts = {np.delete(ids, list(at)).tobytes() for at in seen}
+    return np.array(sorted(int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in parts), dtype=np.int64)
+
+
+def keys_of(ids: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """Keys of a text's words: similar texts of up to EXACT words always have one in common, longer ones likely."""
+    s, n = kmers(ids), len(ids)
+    keys = [ordered(s)] if n >= least * SHORT else []
+    if n < SHORT:
+        keys.append(ordered(s, FEW))
+    if n <= EXACT:
+        keys.append(left_over(ids, least))
+    return np.concatenate(keys)
+
+
+def slots_of(s: np.ndarray) -> np.ndarray:
+    """The SLOTS parts (-1 if empty) of the orderless sketch."""
     t = np.sort(_mix(s + np.uint64(77)))
     edge = np.searchsorted(t, np.arange(SLOTS, dtype=np.uint64) << np.uint64(58))
     first = t[np.minimum(edge, len(t) - 1)]
     slots = np.where((edge < len(t)) & (first >> np.uint64(58) == np.arange(SLOTS, dtype=np.uint64)), (first >> np.uint64(8)) & np.uint64(0xFFFF), np.uint64(0x10000)).astype(np.int32)
-    return keys.view(np.int64), np.where(slots == 0x10000, -1, slots)
+    return np.where(slots == 0x10000, -1, slots)
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
@@ -140,17 +175,20 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return common / n
 
 
-def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for doc, text in zip(batch["doc_id"], batch["text"]):
-            w = words(text)
-            if w:
-                keys, slots = sketch(kmers(numbers(w)))
-                rows.append((doc, node(w), len(w), keys, slots))
-        out = pd.DataFrame(rows, columns=["doc_id", "node", "n", "keys", "slots"])
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        yield out
+def _sketcher(least: float):
+    def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch["doc_id"], batch["text"]):
+                w = words(text)
+                if w:
+                    ids = numbers(w)
+                    rows.append((doc, node(w), len(w), keys_of(ids, least), slots_of(kmers(ids))))
+            out = pd.DataFrame(rows, columns=["doc_id", "node", "n", "keys", "slots"])
+            out["doc_id"] = out["doc_id"].astype("Int64")
+            yield out
+
+    return sketched
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,7 +248,7 @@ def _overlap(a: Column, b: Column) -> Column:
 
 def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """The rows' nodes (doc_id, node, n, ...), and the class of every linked node (node, label)."""
-    rows = table(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_sketched, _SCHEMA), "sketches")
+    rows = table(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_sketcher(least), _SCHEMA), "sketches")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("slots").alias("slots"))
     nodes = table(nodes, "nodes")
     placed = nodes.select("node", "n", F.posexplode("keys").alias("sketch", "key"))

@@ -168,6 +168,41 @@ def test_large_group_and_shared_passage(spark):
     assert {got[i] for i in range(150)} == {0} and all(got[i] == i for i in range(150, 300))
 
 
+def similar_pair(r, n, changes):
+    """Numbers of n words, and a copy with so many of them replaced."""
+    a = np.array([r.randint(1, 2**32 - 1) for _ in range(n)], np.uint32)
+    b = a.copy()
+    b[r.sample(range(n), changes)] = [r.randint(1, 2**32 - 1) for _ in range(changes)]
+    return a, b
+
+
+def test_similar_texts_share_a_key_down_to_the_threshold():
+    r, shared = random.Random(8), lambda a, b: len(np.intersect1d(omh.keys_of(a), omh.keys_of(b))) > 0
+    for n in range(5, omh.EXACT + 1):
+        for _ in range(20):
+            a, b = similar_pair(r, n, n // 5)
+            assert shared(a, b) and (omh.similarity(a, a[1:]) < 0.8 or shared(a, a[1:]))
+    for n in (15, 20, 30, 35, 39, 40, 50, 100, 200, 600):
+        found = [shared(*similar_pair(r, n, n // 5)) for _ in range(100)]
+        assert np.mean(found) >= 0.95, (n, np.mean(found))
+    assert np.mean([shared(r1, r1[: int(len(r1) * 0.8) + 1]) for r1 in (similar_pair(r, n, 0)[0] for n in range(36, 48))]) == 1
+
+
+def test_classes_of_barely_similar_texts(spark):
+    r, texts = random.Random(9), []
+    for k in range(60):
+        n = (5, 8, 10, 12, 14, 17, 24, 38, 44, 120)[k % 10]
+        w = [f"w{k}x{i}" for i in range(n)]
+        changed = w[:]
+        for i in r.sample(range(n), n // 5):
+            changed[i] += "new"
+        texts += [" ".join(w), " ".join(changed)]
+    got = {x.doc_id: x.class_id for x in omh.classes(docs(spark, texts)).collect()}
+    assert all(got[2 * k] == 2 * k for k in range(60))
+    linked = [got[2 * k + 1] == 2 * k for k in range(60)]
+    assert all(x for k, x in enumerate(linked) if k % 10 < 5) and sum(linked) >= 58
+
+
 def test_similarity_is_the_common_subsequence():
     r = random.Random(1)
     for _ in range(200):
