@@ -17,9 +17,8 @@ Equal word sequences are one node from the start, so copies never make pairs. In
 each bucket of a sketch, every node is compared with the least node (linear in the
 bucket), for a few sketches first, then for all others where that node isn't in its
 class yet. Only nodes that are then still outside the class of a least node are
-compared with the other classes of that bucket, where lengths, a second, orderless
-sketch and counts of words (a bound that no similar pair fails) allow the
-similarity; nothing is capped. Pairs and classes are
+compared with the other classes of that bucket, where lengths and counts of words
+(bounds that no similar pair fails) allow the similarity; nothing is capped or estimated. Pairs and classes are
 tables in the shared folder at every step; nothing but their counts comes to the
 driver.
 
@@ -54,14 +53,11 @@ EXACT = 14
 #: Sketches whose buckets are compared first; members of a class that these find aren't compared again.
 FIRST_SKETCHES = 4
 SIMILARITY = 0.8
-SLOTS = 64
 #: Cells that a text's words are counted in, for a bound on what two texts have in common.
 CELLS = 256
-#: An orderless estimate under this rules a pair out when buckets are searched again.
-LEAST_ESTIMATE = 0.3
 _SPACES = bytes(b if 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _SEEDS = np.random.default_rng(5).integers(1, 2**63, size=SKETCHES + MINIMA + K, dtype=np.uint64)
-_SCHEMA = "doc_id long, node binary, n int, keys array<long>, slots array<int>"
+_SCHEMA = "doc_id long, node binary, n int, keys array<long>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -135,15 +131,6 @@ def keys_of(ids: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
     return np.concatenate(keys)
 
 
-def slots_of(s: np.ndarray) -> np.ndarray:
-    """The SLOTS parts (-1 if empty) of the orderless sketch."""
-    t = np.sort(_mix(s + np.uint64(77)))
-    edge = np.searchsorted(t, np.arange(SLOTS, dtype=np.uint64) << np.uint64(58))
-    first = t[np.minimum(edge, len(t) - 1)]
-    slots = np.where((edge < len(t)) & (first >> np.uint64(58) == np.arange(SLOTS, dtype=np.uint64)), (first >> np.uint64(8)) & np.uint64(0xFFFF), np.uint64(0x10000)).astype(np.int32)
-    return np.where(slots == 0x10000, -1, slots)
-
-
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """Common subsequence within the band that ``least`` allows, as a part of the longer one; 0 if lengths rule it out."""
     if len(a) < len(b):
@@ -182,9 +169,8 @@ def _sketcher(least: float):
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 w = words(text)
                 if w:
-                    ids = numbers(w)
-                    rows.append((doc, node(w), len(w), keys_of(ids, least), slots_of(kmers(ids))))
-            out = pd.DataFrame(rows, columns=["doc_id", "node", "n", "keys", "slots"])
+                    rows.append((doc, node(w), len(w), keys_of(numbers(w), least)))
+            out = pd.DataFrame(rows, columns=["doc_id", "node", "n", "keys"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
@@ -234,13 +220,6 @@ def _verified(pairs: DataFrame, ids: DataFrame, least: float, name: str) -> Data
     return table(whole.select("a", "b", verifier(least)("x", "y").alias("similarity")).where(F.col("similarity") >= least), name)
 
 
-def _estimate(a: Column, b: Column) -> Column:
-    """Equal slots as a part of those that either text fills."""
-    both = F.zip_with(a, b, lambda x, y: F.when((x < 0) & (y < 0), F.lit(None)).otherwise((x == y).cast("int")))
-    total = F.aggregate(both, F.struct(F.lit(0).alias("same"), F.lit(0).alias("filled")), lambda s, v: F.struct((s["same"] + F.coalesce(v, F.lit(0))).alias("same"), (s["filled"] + v.isNotNull().cast("int")).alias("filled")))
-    return total["same"] / total["filled"]
-
-
 def _overlap(a: Column, b: Column) -> Column:
     """Words that two bags can have in common at most; no common subsequence is longer."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, v: s + v)
@@ -249,7 +228,7 @@ def _overlap(a: Column, b: Column) -> Column:
 def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """The rows' nodes (doc_id, node, n, ...), and the class of every linked node (node, label)."""
     rows = table(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_sketcher(least), _SCHEMA), "sketches")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("slots").alias("slots"))
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     nodes = table(nodes, "nodes")
     placed = nodes.select("node", "n", F.posexplode("keys").alias("sketch", "key"))
     shared = placed.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1).select("key", "leader")
@@ -268,10 +247,10 @@ def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
         edges = edges.unionByName(more)
         labels = components(edges, "second")
     # nodes that still aren't in the class of their bucket's leader, against the other classes of the bucket
-    named = table(_classed(followers, labels).join(nodes.select("node", "slots"), "node").join(ids.mapInPandas(_bags, "node binary, bag array<int>"), "node"), "classed")
-    open_ = named.where(F.col("label") != F.col("leading")).select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("slots").alias("sa"), F.col("bag").alias("ba"))
-    other = named.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("slots").alias("sb"), F.col("bag").alias("bb"), (F.col("label") != F.col("leading")).alias("open"))
-    fits = (F.col("la") != F.col("lb")) & (~F.col("open") | (F.col("a") < F.col("b"))) & (F.least("na", "nb") >= least * F.greatest("na", "nb")) & (_estimate(F.col("sa"), F.col("sb")) >= LEAST_ESTIMATE)
+    named = table(_classed(followers, labels).join(ids.mapInPandas(_bags, "node binary, bag array<int>"), "node"), "classed")
+    open_ = named.where(F.col("label") != F.col("leading")).select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("bag").alias("ba"))
+    other = named.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("bag").alias("bb"), (F.col("label") != F.col("leading")).alias("open"))
+    fits = (F.col("la") != F.col("lb")) & (~F.col("open") | (F.col("a") < F.col("b"))) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))
     fits = fits & (_overlap(F.col("ba"), F.col("bb")) >= least * F.greatest("na", "nb"))
     again = open_.alias("o").join(other.alias("p"), (F.col("o.key") == F.col("p.key")) & fits).select("a", "b").distinct()
     last = _verified(table(again, "again"), ids, least, "verified-again")

@@ -203,6 +203,19 @@ def test_classes_of_barely_similar_texts(spark):
     assert all(x for k, x in enumerate(linked) if k % 10 < 5) and sum(linked) >= 58
 
 
+def test_pairs_apart_from_their_leader_are_linked(spark, monkeypatch):
+    # all texts meet in one bucket, whose leader is similar to none of them
+    monkeypatch.setattr(omh, "keys_of", lambda ids, least: np.zeros(1, np.int64))
+    texts = []
+    for k in range(20):
+        w = [f"w{k}x{i}" for i in range(60)]
+        texts += [" ".join(w), " ".join(x + f" new{k}" * (i % 5 == 3) for i, x in enumerate(w) if i % 5 != 1)]
+    first = min(omh.node(omh.words(x)) for x in texts)
+    texts.append(next(t for t in map("alone{}".format, range(10**5)) if omh.node(omh.words(t)) < first))
+    got = {x.doc_id: x.class_id for x in omh.classes(docs(spark, texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(41)}
+
+
 def test_similarity_is_the_common_subsequence():
     r = random.Random(1)
     for _ in range(200):
