@@ -177,17 +177,22 @@ def _route(router: Router):
 
 
 def best_of(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its k best candidates: ids and exact cosines, ties to the smaller id."""
-    q, c = unit(queries), unit(vectors)
+    """For each query its k best candidates: ids, each once with its nearest row, and exact cosines, ties to the smaller id."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    q, c = unit(queries), unit(vectors[order])
+    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
     for a in range(0, len(q), 256):
         rough = q[a : a + 256] @ c.T
         rough[ids[None, :] == own[a : a + 256, None]] = -np.inf
-        last = np.partition(rough, max(0, rough.shape[1] - k), axis=1)[:, max(0, rough.shape[1] - k)]
+        best = np.maximum.reduceat(rough, first, axis=1)
+        last = np.partition(best, max(0, best.shape[1] - k), axis=1)[:, max(0, best.shape[1] - k)]
         for i, (row, low) in enumerate(zip(rough, last)):
             # a product of matrices rounds differently at different places: what is near the last place is computed alike
             at = np.flatnonzero((row >= low - 1e-9) & (row > -np.inf))
             exact = (c[at] * q[a + i]).sum(axis=1)
-            order = np.lexsort((ids[at], -exact))[:k]
+            order = np.lexsort((ids[at], -exact))
+            order = order[np.sort(np.unique(ids[at][order], return_index=True)[1])][:k]
             yield a + i, ids[at][order], exact[order]
 
 

@@ -82,6 +82,14 @@ def test_blocks_do_not_change_neighbours(spark, monkeypatch):
     assert sorted(whole) == sorted(ann.search(t, q).collect())
 
 
+def test_repeated_ids_count_once(spark):
+    x = np.random.default_rng(6).normal(size=(30, 8))
+    rows = [(i, (x[i] + 1e-9 * j).tolist()) for i in range(30) for j in range(12)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.search(t, t.where("vec_id = 0")).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == brute_neighbours([(i, v.tolist()) for i, v in enumerate(x)], 5)[0]
+
+
 # 2 personal data
 
 def test_pseudonyms_keep_format_and_links(spark):
