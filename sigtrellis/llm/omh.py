@@ -2,61 +2,64 @@
 
 A text is its words, lower-cased (``\\w``-like: letters, digits and all bytes above
 ASCII). Its k-mers are runs of two words, each labelled with how often it occurred
-before. One sketch takes the three k-mers of least hash (two in short texts) and keeps
-them in the order of the text, so that moved passages don't agree; a text has
-``SKETCHES`` of them. Texts of about the limit's length have both kinds, since a pair
-may lie on either side of it. Texts of at most ``EXACT`` words also have a key for each
-sequence that is left when as many words are deleted as the similarity allows: two such
-texts that are similar always share one.
-
-Two texts are near duplicates if the longest common subsequence of their words,
-within a band around the diagonal, has at least 0.8 of the words of the longer one.
-Classes are the connected components of verified pairs.
-
-Equal word sequences are one node from the start, so copies never make pairs. In
-each bucket of a sketch, every node is compared with the least node (linear in the
-bucket), for a few sketches first, then for all others where that node isn't in its
-class yet. Only nodes that are then still outside the class of a least node are
-compared with the other classes of that bucket, where lengths and counts of words
-(bounds that no similar pair fails) allow the similarity; nothing is capped or estimated. Pairs and classes are
-tables in the shared folder at every step; nothing but their counts comes to the
-driver.
-
-A text of one word has one k-mer, the whole text. Null texts and
-texts without a word are each alone in their class. Repeated rows share a class;
-a doc_id that has several texts takes the least of their classes. Rows whose doc_id
-is null are classed by their text, and a class without any doc_id has a null id.
+before. One sketch takes the two k-mers of least hash and keeps them in the order of
+the text, so that moved passages don't agree; a text has ``SKETCHES`` of them. Texts of
+at most ``EXACT`` words also have a key for each sequence that is left when as many
+words are deleted as the similarity allows: two such texts that are similar always
+share one.
+
+Two texts are near duplicates if the edit distance of their words (insertions,
+deletions, replacements), aligned in the band around the diagonal that the limit
+leaves, is at most a fifth of the words of the longer one. Classes are the connected
+components of verified pairs.
+
+Equal word sequences are one node from the start, so copies never make pairs. In each
+bucket of a key every node is compared with the least node (linear in the bucket), for
+an eighth of the keys first, then for all others where that node isn't in its class
+yet. Buckets that then still hold several classes are mixed. The nodes of a mixed
+bucket of at most ``SMALL`` are compared with each other. Those of larger ones are
+joined by their rarest words instead: similar texts share four fifths of their words,
+so in any one order of words they share one of the first fifth, and nothing similar is
+lost (a prefix filter; the order is that of how common words are). Pairs and classes
+are tables in the shared folder at every step; what comes to the driver is their
+number and the ``CELLS`` counts that order the words.
+
+A text of one word has one k-mer, the whole text. Null texts and texts without a word
+are each alone in their class. Repeated rows share a class; a doc_id that has several
+texts takes the least of their classes. Rows whose doc_id is null are classed by their
+text, and a class without any doc_id has a null id. An empty table has no classes.
+Columns other than doc_id and text are neither read nor changed, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import zlib
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigtrellis.llm.session import table
+from sigtrellis.llm.session import drop, table
 
 K = 2
-MINIMA = 3
-SKETCHES = 64
-#: Texts of fewer words have sketches of FEW minima: with three, few short texts of the least similarity would agree.
-SHORT, FEW = 40, 2
+MINIMA = 2
+SKETCHES = 32
 #: Texts of up to so many words have keys by deletions, 106 at most.
 EXACT = 14
-#: Sketches whose buckets are compared first; members of a class that these find aren't compared again.
-FIRST_SKETCHES = 4
+#: Buckets of one in so many keys are compared first; members of a class that these find aren't compared again.
+FIRST = 8
 SIMILARITY = 0.8
-#: Cells that a text's words are counted in, for a bound on what two texts have in common.
-CELLS = 256
+#: Mixed buckets of up to so many nodes are compared pair by pair, larger ones by rare words.
+SMALL = 48
+#: Counts that words are put in order by.
+CELLS = 1 << 18
 _SPACES = bytes(b if 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
-_SEEDS = np.random.default_rng(5).integers(1, 2**63, size=SKETCHES + MINIMA + K, dtype=np.uint64)
+_SEEDS = np.random.default_rng(5).integers(1, 2**63, size=SKETCHES + MINIMA + K, dtype=np.uint64) | np.uint64(1)
 _SCHEMA = "doc_id long, node binary, n int, keys array<long>"
 
 
@@ -79,32 +82,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def kmers(ids: np.ndarray) -> np.ndarray:
+def kmers(ids: np.ndarray, k: int = K) -> np.ndarray:
     """A hash of each k-mer with its occurrence, in text order."""
-    k = min(K, len(ids))
+    k = min(k, len(ids))
     ids = ids.astype(np.uint64)
     s = np.zeros(len(ids) - k + 1, dtype=np.uint64)
     for j in range(k):
         s = _mix(s + ids[j : j + len(s)] * _SEEDS[SKETCHES + MINIMA + j])
     order = np.argsort(s, kind="stable")
+    at = np.arange(len(s))
     same = np.concatenate(([False], s[order][1:] == s[order][:-1]))
-    if same.any():
-        at = np.arange(len(s))
-        occurrence = np.zeros(len(s), dtype=np.uint64)
-        occurrence[order] = (at - np.maximum.accumulate(np.where(same, 0, at))).astype(np.uint64)
-        s = _mix(s + occurrence * np.uint64(0x9E3779B97F4A7C15))
-    return s
+    occurrence = np.zeros(len(s), dtype=np.uint64)
+    occurrence[order] = (at - np.maximum.accumulate(np.where(same, 0, at))).astype(np.uint64)
+    return _mix(s + occurrence * np.uint64(0x9E3779B97F4A7C15))
 
 
-def ordered(s: np.ndarray, minima: int = MINIMA) -> np.ndarray:
+def ordered(s: np.ndarray) -> np.ndarray:
     """The SKETCHES keys of k-mers."""
     keys = np.empty(SKETCHES, dtype=np.uint64)
-    few = min(minima, len(s))
+    few = min(MINIMA, len(s))
     step = max(1, 1_000_000 // len(s))
     for a in range(0, SKETCHES, step):
-        z = _mix(s[None, :] ^ _SEEDS[a : min(a + step, SKETCHES), None])
+        # the hashes are mixed already: an odd factor of its own orders them anew for each sketch
+        z = s[None, :] * _SEEDS[a : min(a + step, SKETCHES), None]
+        z ^= z >> np.uint64(32)
         least = np.sort(np.argpartition(z, few - 1, axis=1)[:, :few], axis=1)
-        key = _SEEDS[a : a + len(z)] + np.uint64(minima)
+        key = _SEEDS[a : a + len(z)].copy()
         for j in range(few):
             key = _mix(key + s[least[:, j]] * _SEEDS[SKETCHES + j])
         keys[a : a + len(z)] = key
@@ -115,51 +118,69 @@ def left_over(ids: np.ndarray, least: float) -> np.ndarray:
     """A hash of each sequence that is left without as many words as ``least`` allows, or fewer."""
     seen, most = {()}, len(ids) - math.ceil(least * len(ids) - 1e-9)
     for gone in range(1, most + 1):
-        seen |= set(combinations(range(len(ids)), gone))
+        seen |= set(itertools.combinations(range(len(ids)), gone))
     parts = {np.delete(ids, list(at)).tobytes() for at in seen}
     return np.array(sorted(int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in parts), dtype=np.int64)
 
 
 def keys_of(ids: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
     """Keys of a text's words: similar texts of up to EXACT words always have one in common, longer ones likely."""
-    s, n = kmers(ids), len(ids)
-    keys = [ordered(s)] if n >= least * SHORT else []
-    if n < SHORT:
-        keys.append(ordered(s, FEW))
-    if n <= EXACT:
-        keys.append(left_over(ids, least))
-    return np.concatenate(keys)
+    keys = ordered(kmers(ids))
+    return np.concatenate([keys, left_over(ids, least)]) if len(ids) <= EXACT else keys
+
+
+def _allowed(n: int, least: float) -> int:
+    """Edits between texts of which the longer has n words."""
+    return n - math.ceil(least * n - 1e-9)
+
+
+def distance(p: list[int], t: list[int], most: int) -> int:
+    """Edit distance of two sequences, exact up to ``most``, by a band of diagonals held in the bits of integers."""
+    width = 2 * most + 1
+    full, last = (1 << width) - 1, 1 << 2 * most
+    at: dict[int, int] = {}
+    for i, v in enumerate(p):
+        at[v] = at.get(v, 0) | 1 << i
+    # bit b of a column j stands for row j - most + b
+    up, down = full & ~((1 << most) - 1), 0
+    score, n = min(most, len(p)), len(p)
+    for j, v in enumerate(t, 1):
+        hit, shift = at.get(v, 0), j - most - 1
+        hit = (hit >> shift if shift >= 0 else hit << -shift) & full
+        same = ((((hit & up) + up) ^ up) | hit | down) & full
+        right, left = (down | ~(same | up)) & full, same & up
+        row = n - j + most
+        if row >= width - 1:
+            score += not same & last
+        elif row >= 0:
+            score += (right >> row & 1) - (left >> row & 1)
+        moved = same >> 1
+        down, up = moved & right, (left | ~(moved | right)) & full
+    return score
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Common subsequence within the band that ``least`` allows, as a part of the longer one; 0 if lengths rule it out."""
+    """One less the edit distance as a part of the longer one; 0 if it is certain to be below ``least``."""
     if len(a) < len(b):
         a, b = b, a
     n, m = len(a), len(b)
-    if not m or m < least * n:
+    most = _allowed(n, least)
+    if not m or n - m > most:
         return 0.0
-    short = min(n, m)
-    head = int((a[:short] != b[:short]).argmax()) if (a[:short] != b[:short]).any() else short
-    rest = short - head
-    back = a[::-1][:rest] != b[::-1][:rest]
-    tail = int(back.argmax()) if back.any() else rest
-    x, y = a[head : n - tail].tolist(), b[head : m - tail].tolist()
-    common = head + tail
-    if x and y:
-        at: dict[int, int] = {}
-        for i, v in enumerate(x):
-            at[v] = at.get(v, 0) | 1 << i
-        full, band = (1 << len(x)) - 1, int((1 - least) * n) + 1
-        state, window = full, (1 << (2 * band + 1)) - 1
-        for j, v in enumerate(y):
-            hit = at.get(v)
-            if hit:
-                hit &= window << (j - band) if j >= band else window >> (band - j)
-                u = state & hit
-                if u:
-                    state = ((state + u) | (state - u)) & full
-        common += len(x) - state.bit_count()
-    return common / n
+    differ = np.flatnonzero(a[:m] != b)
+    head = int(differ[0]) if len(differ) else m
+    differ = np.flatnonzero(a[::-1][: m - head] != b[::-1][: m - head])
+    tail = int(differ[0]) if len(differ) else m - head
+    x, y = a[head : n - tail], b[head : m - tail]
+    if not len(x) or not len(y):
+        edits = max(len(x), len(y))
+    else:
+        # words without a partner need an edit each
+        words_, counts = np.unique(np.concatenate((x, y)), return_inverse=True)
+        if len(x) - np.minimum(np.bincount(counts[: len(x)], minlength=len(words_)), np.bincount(counts[len(x) :], minlength=len(words_))).sum() > most:
+            return 0.0
+        edits = distance(x.tolist(), y.tolist(), most)
+    return 1 - edits / n if edits <= most else 0.0
 
 
 def _sketcher(least: float):
@@ -183,9 +204,28 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["node", "ids"])
 
 
-def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"node": batch["node"], "bag": [np.bincount(np.frombuffer(x, dtype=np.uint32) % CELLS, minlength=CELLS).astype(np.int32) for x in batch["ids"]]})
+        n = np.zeros(CELLS, dtype=np.int64)
+        for x in batch["ids"]:
+            n += np.bincount((kmers(np.frombuffer(x, dtype=np.uint32), 1) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        cell = np.flatnonzero(n)
+        yield pd.DataFrame({"cell": cell.astype(np.int32), "n": n[cell]})
+
+
+def rare(ids: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
+    """The rarest words, labelled with their occurrence: two similar texts have one of them in common, whatever ``common`` counts."""
+    s = kmers(ids, 1)
+    order = np.lexsort((s, common[(s % np.uint64(len(common))).astype(np.int64)]))
+    return s[order[: _allowed(len(ids), least) + 1]].view(np.int64)
+
+
+def _rarest(common: np.ndarray, least: float):
+    @F.pandas_udf("array<long>")
+    def pick(ids: pd.Series) -> pd.Series:
+        return pd.Series([rare(np.frombuffer(x, dtype=np.uint32), common, least) for x in ids], dtype=object)
+
+    return pick
 
 
 def verifier(least: float):
@@ -204,63 +244,85 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """
     both = table(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))), f"{name}-edges")
     labels = table(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), f"{name}-0")
-    for turn in range(1, 64):
+    for turn in itertools.count(1):
         seen = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
         near = labels.join(seen, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = near.join(labels.select(F.col("node").alias("label"), F.col("label").alias("far")), "label", "left")
         fresh = table(jump.select("node", "was", F.coalesce(F.least("label", "far"), F.col("label")).alias("label")), f"{name}-{turn}")
-        labels = fresh.select("node", "label")
+        drop(labels)
+        labels = fresh
         if fresh.where(F.col("was") != F.col("label")).isEmpty():
-            break
-    return labels
+            drop(both)
+            return labels.select("node", "label")
 
 
 def _verified(pairs: DataFrame, ids: DataFrame, least: float, name: str) -> DataFrame:
+    pairs = table(pairs.distinct(), name)
     whole = pairs.join(ids.select(F.col("node").alias("a"), F.col("ids").alias("x")), "a").join(ids.select(F.col("node").alias("b"), F.col("ids").alias("y")), "b")
-    return table(whole.select("a", "b", verifier(least)("x", "y").alias("similarity")).where(F.col("similarity") >= least), name)
+    found = table(whole.select("a", "b", verifier(least)("x", "y").alias("similarity")).where(F.col("similarity") >= least), f"verified-{name}")
+    drop(pairs)
+    return found
+
+
+def _pairs(rows: DataFrame, key: str, least: float) -> DataFrame:
+    """Pairs of rows (key, node, n, label, and buckets, of which they share one) of one key, but of two labels, whose lengths allow similarity."""
+    a, b = (rows.select(key, *[F.col(c).alias(f"{c}_{side}") for c in rows.columns if c in ("node", "n", "label", "buckets")]) for side in "ab")
+    fits = (F.col("label_a") != F.col("label_b")) & (F.col("node_a") < F.col("node_b")) & (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9)
+    if "buckets" in rows.columns:
+        fits = fits & F.arrays_overlap("buckets_a", "buckets_b")
+    return a.join(b, key).where(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
-def _overlap(a: Column, b: Column) -> Column:
-    """Words that two bags can have in common at most; no common subsequence is longer."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, v: s + v)
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with the label of their node; a node without links is its own class."""
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """The rows' nodes (doc_id, node, n, ...), and the class of every linked node (node, label)."""
     rows = table(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_sketcher(least), _SCHEMA), "sketches")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    nodes = table(nodes, "nodes")
-    placed = nodes.select("node", "n", F.posexplode("keys").alias("sketch", "key"))
-    shared = placed.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1).select("key", "leader")
-    buckets = table(placed.join(table(shared, "shared"), "key"), "buckets")
+    nodes = table(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    placed = nodes.select("node", "n", F.explode("keys").alias("key"))
+    shared = table(placed.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1), "shared")
+    buckets = table(placed.join(shared.select("key", "leader"), "key"), "buckets")
     needed = buckets.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).join(needed, "doc_id").select("node", "text")
     ids = table(texts.mapInPandas(_read, "node binary, ids binary").dropDuplicates(["node"]), "texts")
+    drop(nodes)
     followers = buckets.where(F.col("node") != F.col("leader"))
-    stars = followers.where(F.col("sketch") < FIRST_SKETCHES).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    edges = _verified(table(stars, "stars"), ids, least, "verified-stars")
+    first = followers.where(F.pmod("key", F.lit(FIRST)) == 0)
+    edges = _verified(first.select(F.col("leader").alias("a"), F.col("node").alias("b")), ids, least, "stars")
     labels = components(edges, "first")
-    # of the other sketches, leaders against those that aren't in their class yet
-    apart = _classed(followers, labels).where(F.col("label") != F.col("leading"))
-    more = _verified(table(apart.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "more-stars"), ids, least, "verified-more")
+    # all other leaders, against those that aren't in their class yet; a node leads only as many buckets as it has keys
+    leading = shared.select("key", F.col("leader").alias("node")).join(labels, "node").select("key", F.col("label").alias("leading"))
+    apart = _labelled(followers, labels).join(leading, "key", "left").where(F.col("label") != F.coalesce("leading", "leader"))
+    more = _verified(apart.select(F.col("leader").alias("a"), F.col("node").alias("b")), ids, least, "more-stars")
     if not more.isEmpty():
         edges = edges.unionByName(more)
         labels = components(edges, "second")
-    # nodes that still aren't in the class of their bucket's leader, against the other classes of the bucket
-    named = table(_classed(followers, labels).join(ids.mapInPandas(_bags, "node binary, bag array<int>"), "node"), "classed")
-    open_ = named.where(F.col("label") != F.col("leading")).select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("bag").alias("ba"))
-    other = named.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("bag").alias("bb"), (F.col("label") != F.col("leading")).alias("open"))
-    fits = (F.col("la") != F.col("lb")) & (~F.col("open") | (F.col("a") < F.col("b"))) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))
-    fits = fits & (_overlap(F.col("ba"), F.col("bb")) >= least * F.greatest("na", "nb"))
-    again = open_.alias("o").join(other.alias("p"), (F.col("o.key") == F.col("p.key")) & fits).select("a", "b").distinct()
-    last = _verified(table(again, "again"), ids, least, "verified-again")
+    # what is left of a bucket of several classes, but its leader, which all were compared with
+    named = table(_labelled(buckets, labels), "labelled")
+    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where(F.col("low") != F.col("high"))
+    mixed = table(named.where(F.col("node") != F.col("leader")).join(mixed.select("key", "size"), "key"), "mixed")
+    small = _pairs(mixed.where(F.col("size") <= SMALL), "key", least)
+    large = mixed.where(F.col("size") > SMALL).groupBy("node", "n", "label").agg(F.collect_set("key").alias("buckets"))  # as many as a node has keys
+    pairs = small.unionByName(_by_rare_words(large, ids, least))
+    last = _verified(pairs, ids, least, "mixed-pairs")
+    drop(named, mixed)
     return rows, labels if last.isEmpty() else components(edges.unionByName(last), "third")
 
 
-def _classed(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """rows (node, leader) with the classes of both: label and leading; a node without links is its own class."""
-    named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    return named.join(labels.select(F.col("node").alias("leader"), F.col("label").alias("leading")), "leader", "left").withColumn("leading", F.coalesce("leading", "leader"))
+def _by_rare_words(nodes: DataFrame, ids: DataFrame, least: float) -> DataFrame:
+    """Pairs of nodes (node, n, label, buckets) of two classes that share a bucket and one of their rarest words."""
+    nodes = table(nodes.join(ids, "node"), "large")
+    counted = nodes.select("ids").mapInPandas(_counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # CELLS rows of two numbers at most
+    common = np.zeros(CELLS, dtype=np.int64)
+    common[counted["cell"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy(dtype=np.int64)
+    spread = table(nodes.select("node", "n", "label", "buckets", F.explode(_rarest(common, least)("ids")).alias("word")), "rare-words")
+    drop(nodes)
+    # words of one class alone, as its copies have, make no pair
+    several = spread.groupBy("word").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("word")
+    return _pairs(table(spread.join(several, "word"), "shared-rare-words"), "word", least)
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

@@ -211,31 +211,72 @@ def test_classes_of_barely_similar_texts(spark):
     assert all(x for k, x in enumerate(linked) if k % 10 < 5) and sum(linked) >= 58
 
 
-def test_pairs_apart_from_their_leader_are_linked(spark, monkeypatch):
+@pytest.mark.parametrize("small", [2, 1000])
+def test_pairs_apart_from_their_leader_are_linked(spark, monkeypatch, small):
     # all texts meet in one bucket, whose leader is similar to none of them
+    monkeypatch.setattr(omh, "SMALL", small)
     monkeypatch.setattr(omh, "keys_of", lambda ids, least: np.zeros(1, np.int64))
     texts = []
     for k in range(20):
         w = [f"w{k}x{i}" for i in range(60)]
-        texts += [" ".join(w), " ".join(x + f" new{k}" * (i % 5 == 3) for i, x in enumerate(w) if i % 5 != 1)]
+        texts += [" ".join(w), " ".join(x + f" new{k}" * (i % 10 == 3) for i, x in enumerate(w) if i % 10 != 1)]
     first = min(omh.node(omh.words(x)) for x in texts)
     texts.append(next(t for t in map("alone{}".format, range(10**5)) if omh.node(omh.words(t)) < first))
     got = {x.doc_id: x.class_id for x in omh.classes(docs(spark, texts)).collect()}
     assert got == {i: i - i % 2 for i in range(41)}
 
 
-def test_similarity_is_the_common_subsequence():
-    r = random.Random(1)
-    for _ in range(200):
-        a = [r.randint(0, 9) for _ in range(r.randint(1, 40))]
-        b = [x for x in a if r.random() > 0.06] or [0]
-        table = np.zeros((len(a) + 1, len(b) + 1), int)
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
-        want = table[-1, -1] / max(len(a), len(b))
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_similarity_is_that_of_edits():
+    r, seen = random.Random(1), 0
+    for _ in range(600):
+        a = [r.randint(0, r.choice([2, 9, 50])) for _ in range(r.randint(1, 45))]
+        b = [y for x in a for y in r.choice([[x]] * 12 + [[], [r.randint(0, 9)], [x, r.randint(0, 9)]])] or [0]
+        most, d = max(len(a), len(b)), edits(a, b)
         got = omh.similarity(np.array(a, np.uint32), np.array(b, np.uint32))
-        assert got == want if want >= 0.8 else got < 0.8
+        assert got == (1 - d / most if d <= omh._allowed(most, 0.8) else 0), (a, b)
+        seen += got > 0
+    assert seen > 200
+
+
+def test_repeated_words_share_keys():
+    a = similar_pair(random.Random(2), 60, 0)[0]
+    assert len(np.intersect1d(omh.kmers(a), omh.kmers(np.concatenate((a, a[:5]))))) == 59
+    assert len(np.intersect1d(omh.keys_of(a), omh.keys_of(np.concatenate((a, a[:5]))))) > 20
+
+
+def test_rare_words_miss_no_similar_pair():
+    r, common = random.Random(3), np.zeros(omh.CELLS, np.int64)
+    for _ in range(300):
+        a, b = similar_pair(r, r.randint(5, 80), 0)
+        n = len(a)
+        b[r.sample(range(n), n // 5)] = r.randint(1, 9)
+        common[[r.randrange(omh.CELLS) for _ in range(50)]] += 1
+        assert len(np.intersect1d(omh.rare(a, common, 0.8), omh.rare(b, common, 0.8))) or omh.similarity(a, b) < 0.8
+
+
+def test_classes_are_those_of_all_pairs(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(x.doc_id, omh.numbers(omh.words(x.text))) for x in d.collect()]
+    least = {i: i for i, _ in rows}
+
+    def top(i):
+        return i if least[i] == i else top(least[i])
+
+    for k, (i, a) in enumerate(rows):
+        for j, b in rows[:k]:
+            if len(a) and len(b) and omh.similarity(a, b) >= 0.8:
+                x, y = sorted((top(i), top(j)))
+                least[y] = x
+    assert {x.doc_id: x.class_id for x in omh.classes(d).collect()} == {i: top(i) for i in least}
 
 
 # 5 lines
