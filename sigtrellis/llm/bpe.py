@@ -1,43 +1,48 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-Bytes are held as characters of ISO-8859-1, so that pieces of bytes are strings.
-Each match of the pattern is one word; a word found among the ranks is one token,
-any other is folded: its bytes start as single pieces, and each step joins the
-leftmost pair of least rank, until no neighbouring pair has a rank. The rank map is
-one literal array of cells, addressed by the CRC-32 of a piece.
-
-The distinct words of all documents are counted, and the commonest, at most
-``remembered``, are folded once each; executors get their ids as a dictionary of
+Each match of the pattern is one word; a word that is a piece of the vocabulary is one
+token, any other is folded: its bytes start as single tokens, and each step joins the
+leftmost pair of least rank, until no neighbouring pair has a rank. The rank map is a
+literal: the sparse table of the one pair that each piece is joined from, its rows moved
+into each other, so that two look-ups give a cost. When it is built, every piece is shown to come from
+exactly one pair, of lower ranks than its own. Joining a pair therefore never makes a
+better one, and words of more than ``LONG`` bytes join all pairs of one rank at a time,
+from the left, as one replacement in a string; they take as many passes as they have
+ranks to join.
+
+The distinct words of all documents are counted, and those of the largest counts, at
+most ``remembered``, are folded once each; executors get their ids as a dictionary of
 that bounded size. A text is cut into runs of their ids and the words that aren't
-among them, which are folded where they stand. The dictionary changes speed only,
-never ids.
+among them, as byte arrays, which are folded once for each text that holds them. The
+dictionary changes speed only, never ids.
 
 Decoding looks the pieces up in a literal array, joins them and restores bytes.
 
-Null or empty text has no ids and decodes to no bytes. Repeated rows stay repeated.
+Null or empty text has no ids and decodes to no bytes. Repeated rows stay repeated. An
+empty table gives an empty result. Columns other than doc_id and text aren't read.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import re
-import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtrellis.llm.session import table
+from sigtrellis.llm.session import drop, table
 
 #: Words encoded in advance, at most; each is at most LONGEST_WORD characters.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 LONGEST_WORD = 40
-_BUCKETS = 1 << 14
-#: Private-use characters that separate keys, values and cells, and a mark before words still to be folded; no ISO-8859-1 string has them.
-_IS, _NEXT, _CELL, _RAW = "\ue000", "\ue001", "\ue002", "\ue003"
+#: Words of more bytes are folded by replacements.
+LONG = 48
 #: Unicode white space, which the pattern's \s means.
 _SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -56,19 +61,70 @@ def ranks(path: str) -> list[str]:
     return [found[i] for i in range(len(found))]
 
 
-def _literal(values: dict[str, str]) -> Column:
-    """A literal array of strings; the CRC-32 of a key names the string that has the key with its value."""
-    cells: dict[int, list[str]] = defaultdict(list)
-    for k, v in values.items():
-        cells[zlib.crc32(k.encode("utf-8")) % _BUCKETS].append(f"{k}{_IS}{v}{_NEXT}")
-    return F.split(F.lit(_CELL.join(_NEXT + "".join(cells.get(i, ())) for i in range(_BUCKETS))), _CELL)
-
-
-def _find(cells: Column, key: Column) -> Column:
-    """The value of a key, or null. No key may hold the three marks."""
-    cell = F.get(cells, (F.crc32(key.cast("binary")) % _BUCKETS).cast("int"))
-    # without the key the cell stays whole, and nothing stands before its first mark
-    return F.nullif(F.substring_index(F.call_function("substring_index", cell, F.concat(F.lit(_NEXT), key, F.lit(_IS)), F.lit(-1)), _NEXT, 1), F.lit(""))
+def pairs(pieces: list[str]) -> dict[int, tuple[int, int]]:
+    """The one pair of lower ranks that merges make each longer piece from."""
+    rank = {p: i for i, p in enumerate(pieces)}
+    out = {}
+    if len(pieces) > 65_536:
+        raise ValueError("the vocabulary is too large for 16 bits")
+    for i, piece in enumerate(pieces):
+        parts = list(piece)
+        while len(parts) > 2:
+            costs = [rank.get(x + y, i) for x, y in zip(parts, parts[1:])]
+            at = min(range(len(costs)), key=costs.__getitem__)
+            if costs[at] >= i:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if len(parts) > 1:
+            made = tuple(rank[x] for x in parts)
+            if len(made) != 2 or max(made) >= i:
+                raise ValueError(f"the vocabulary doesn't come from merges: rank {i}")
+            out[i] = made
+    if any(chr(b) not in rank for b in range(256)):
+        raise ValueError("the vocabulary lacks single bytes")
+    return out
+
+
+@functools.lru_cache(maxsize=4)
+def _tables(path: str) -> tuple[str, str, str]:
+    """Single bytes' ranks, cells and shifts, as decimals with commas.
+
+    The rank of a pair (a, b) is at cells[shifts[b] + a], together with b, since rows of other tokens lie there too.
+    """
+    pieces = ranks(path)
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for i, (a, b) in pairs(pieces).items():
+        rows.setdefault(b, []).append((a, i))
+    free = np.ones(8 * len(pieces), dtype=bool)
+    cells, shifts = np.zeros(len(free), dtype=np.int64), np.zeros(len(pieces), dtype=np.int64)
+    start = 0
+    for b, row in sorted(rows.items(), key=lambda r: -len(r[1])):
+        a = np.array([x for x, _ in row])
+        start += int(free[start:].argmax())
+        low, most = start, 64
+        if len(row) == 1:
+            most = 1
+        while True:  # to the first place where every cell of the row is free
+            places = low + np.flatnonzero(free[low : low + most]) - a.min()
+            for x in a:
+                places = places[free[places + x]]
+            if len(places):
+                break
+            low, most = low + most, 4 * most
+            if low > 4 * len(pieces):
+                raise ValueError("the table of pairs has no room")
+        shifts[b] = places[0]
+        free[shifts[b] + a] = False
+        cells[shifts[b] + a] = [(b + 1) * 65_536 + i for _, i in row]
+    byte = {p: i for i, p in enumerate(pieces) if len(p) == 1}
+    used = len(free) - int((~free[::-1]).argmax())
+    return ",".join(str(byte[chr(i)]) for i in range(256)), ",".join(map(str, cells[:used])), ",".join(map(str, shifts))
+
+
+def rank_map(path: str) -> Column:
+    """The literal that fold() reads: struct of bytes, cells and shifts."""
+    names = (("bytes", "array<int>"), ("cells", "array<bigint>"), ("shifts", "array<int>"))
+    return F.struct(*[F.split(F.lit(x), ",").cast(kind).alias(name) for x, (name, kind) in zip(_tables(path), names)])
 
 
 def _let(value: Column, body) -> Column:
@@ -76,42 +132,72 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def fold(word: Column, rank: Column) -> Column:
-    """The ids of one word, an ISO-8859-1 string, by merges in order of rank."""
+def _cost(rank: Column, a: Column, b: Column) -> Column:
+    """The rank of what two tokens join to; if they don't, null or any number from 65,536 on."""
+    return F.get(rank["cells"], F.get(rank["shifts"], b) + a).bitwiseXOR((b.cast("long") + 1) * 65_536)
+
+
+def _costs(rank: Column, ids: Column) -> Column:
+    return F.transform(F.slice(ids, F.lit(2), F.size(ids)), lambda b, i: _cost(rank, F.get(ids, i), b))
+
 
-    def cost(piece: Column) -> Column:
-        return _find(rank, piece).cast("int")
+def _by_steps(ids: Column, rank: Column) -> Column:
+    """One pair at a time. The state has one number for each token: the cost of joining it to the next one, then 16 bits of the token."""
+    far, bits = F.lit(1 << 34).cast("long"), 65_536
+
+    def cell(a: Column, b: Column) -> Column:
+        return F.coalesce(_cost(rank, a, b), far) * bits + a
+
+    def token(x: Column) -> Column:
+        return x.bitwiseAND(F.lit(bits - 1).cast("long")).cast("int")
 
     def step(state: Column, _: Column) -> Column:
-        def merge(best: Column) -> Column:
-            def at(i: Column) -> Column:
-                pieces, costs = state["pieces"], state["costs"]
-                new = F.concat(F.get(pieces, i - 1), F.get(pieces, i))
-                left = F.when(i > 1, F.array(cost(F.concat(F.get(pieces, i - 2), new)))).otherwise(F.array().cast("array<int>"))
-                right = F.when(i + 1 < F.size(pieces), F.array(cost(F.concat(new, F.get(pieces, i + 1))))).otherwise(F.array().cast("array<int>"))
-                before = F.greatest(i - 2, F.lit(0))
-                return F.struct(
-                    F.concat(F.slice(pieces, 1, i - 1), F.array(new), F.slice(pieces, i + 2, F.size(pieces))).alias("pieces"),
-                    F.concat(F.slice(costs, 1, before), left, right, F.slice(costs, i + 2, F.size(costs))).alias("costs"),
-                )
+        def merge(i: Column) -> Column:
+            new = F.shiftright(F.get(state, i - 1), 16).cast("int")
+            here = F.when(i + 1 < F.size(state), cell(new, token(F.get(state, i + 1)))).otherwise(far * bits + new)
+            two = F.when(i > 1, F.array(cell(token(F.get(state, i - 2)), new), here)).otherwise(F.array(here))
+            # flatten() copies arrays several times as fast as concat() does
+            return F.when(F.get(state, i - 1) < bits * bits, F.flatten(F.array(F.slice(state, F.lit(1), F.greatest(i - 2, F.lit(0))), two, F.slice(state, i + 2, F.size(state))))).otherwise(state)
+
+        # equal numbers are equal pairs, so the first is the leftmost
+        return _let(F.array_position(state, F.array_min(state)).cast("int"), merge)
 
-            return F.when(best.isNull(), state).otherwise(_let(F.array_position(state["costs"], best).cast("int"), at))
+    start = F.transform(ids, lambda a, i: F.when(i + 1 < F.size(ids), cell(a, F.get(ids, i + 1))).otherwise(far * bits + a))
+    return F.aggregate(F.slice(ids, F.lit(2), F.size(ids)), start, step, lambda s: F.transform(s, token))
 
-        return _let(F.array_min(state["costs"]), merge)
 
-    def run(pieces: Column) -> Column:
-        costs = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda p, i: cost(F.concat(F.get(pieces, i), p)))
-        start = F.struct(pieces.alias("pieces"), costs.alias("costs"))
-        merged = F.aggregate(F.slice(pieces, 2, F.size(pieces)), start, step, lambda s: s["pieces"])
-        return F.transform(merged, cost)
+def _by_ranks(ids: Column, rank: Column) -> Column:
+    """All pairs of the least rank at a time, on a string of ,id; for each token."""
+    written = F.concat(F.lit(","), F.array_join(ids.cast("array<string>"), ";,"), F.lit(";"))
+
+    def step(state: Column, _: Column) -> Column:
+        def pass_(now: Column) -> Column:
+            def merge(costs: Column) -> Column:
+                def at(i: Column) -> Column:
+                    old = F.concat(F.lit(","), F.get(now, i - 1).cast("string"), F.lit(";,"), F.get(now, i).cast("string"), F.lit(";"))
+                    new = F.concat(F.lit(","), F.array_min(costs).cast("string"), F.lit(";"))
+                    return F.struct(F.replace(state["written"], old, new).alias("written"), F.lit(False).alias("done"))
 
-    whole = cost(word)
-    return F.when(whole.isNotNull(), F.array(whole)).otherwise(_let(F.split(word, ""), run))
+                done = F.struct(state["written"].alias("written"), F.lit(True).alias("done"))
+                return F.when(F.array_min(costs) < 65_536, _let(F.array_position(costs, F.array_min(costs)).cast("int"), at)).otherwise(done)
 
+            return _let(_costs(rank, now), merge)
 
-def _joined(word: Column, rank: Column) -> Column:
-    """The ids of an ISO-8859-1 word as decimals with spaces between."""
-    return F.array_join(F.transform(fold(word, rank), lambda i: i.cast("string")), " ")
+        return F.when(state["done"], state).otherwise(_let(read(state["written"]), pass_))
+
+    def read(text: Column) -> Column:
+        return F.split(F.substr(text, F.lit(2), F.length(text) - 2), ";,").cast("array<int>")
+
+    return F.aggregate(F.sequence(F.lit(1), F.size(ids)), F.struct(written.alias("written"), F.lit(False).alias("done")), step, lambda s: read(s["written"]))
+
+
+def fold(ids: Column, rank: Column) -> Column:
+    """The ids of one word, given the ranks of its bytes, by merges in order of rank."""
+    return _let(ids, lambda x: F.when(F.size(x) > LONG, _by_ranks(x, rank)).otherwise(_by_steps(x, rank)))
+
+
+def _joined(ids: Column) -> Column:
+    return F.array_join(ids.cast("array<string>"), " ")
 
 
 def counts(docs: DataFrame, pattern: str) -> DataFrame:
@@ -129,48 +215,68 @@ def counts(docs: DataFrame, pattern: str) -> DataFrame:
 
 
 def dictionary(docs: DataFrame, pattern: str, rank: Column, remembered: int = REMEMBERED) -> dict[str, str]:
-    """The ids of the commonest words, of ``remembered`` at most."""
-    usable = (F.length("word") <= LONGEST_WORD) & (F.col("n") > 1)
-    common = table(counts(docs, pattern).where(usable).orderBy(F.desc("n"), "word").limit(remembered).select("word"), "words")
-    spread = common.repartition(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
-    raw = F.decode(F.col("word").cast("binary"), "ISO-8859-1")
-    found = table(spread.select("word", _let(rank, lambda r: _joined(raw, r)).alias("ids")), "word-ids").toArrow()
+    """The ids of the words with the largest counts, of ``remembered`` at most."""
+    counted = table(counts(docs, pattern).where((F.length("word") <= LONGEST_WORD) & (F.col("n") > 1)), "words")
+    # counts to three binary digits: a few hundred rows tell from which count on the words fit
+    size = F.floor(F.log2("n") * 8)
+    total, least = 0, None
+    for r in sorted(counted.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+        total += r.words
+        if total > remembered:
+            break
+        least = r.size
+    if least is None:
+        return {}
+    letters = F.split(F.decode(F.col("word").cast("binary"), "ISO-8859-1"), "")
+    spread = counted.where(size >= least).select("word").repartition(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+    made = table(spread.select("word", _let(rank, lambda r: _joined(fold(F.transform(letters, lambda c: F.get(r["bytes"], F.ascii(c))), r))).alias("ids")), "word-ids")
+    found = made.toArrow()
+    drop(counted, made)
     return dict(zip(found["word"].to_pylist(), found["ids"].to_pylist()))
 
 
-def cutter(spark: SparkSession, known: dict[str, str], pattern: str):
-    """A Pandas UDF from text to runs of known ids and, behind a mark, the bytes of other words."""
-    shared = spark.sparkContext.broadcast(known)
+def cutter(spark: SparkSession, known: dict[str, str], rank_path: str, pattern: str):
+    """A Pandas UDF from text to runs of known ids, the distinct other words as ranks of their bytes, and the places of both.
+
+    A place is the number of a run, or -1 less the number of a word.
+    """
+    shared, byte = spark.sparkContext.broadcast(known), [int(x) for x in _tables(rank_path)[0].split(",")]
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("struct<runs:array<string>,words:array<array<int>>,places:array<int>>")
+    def cut(texts: pd.Series) -> pd.DataFrame:
         find, ids_of, out = regex.compile(spelled_out(pattern)).findall, shared.value.get, []
         for text in texts:
-            parts, run = [], []
+            runs, run, words, places = [], [], {}, []
             for word in find(text) if text else ():
                 ids = ids_of(word)
                 if ids is not None:
                     run.append(ids)
                     continue
                 if run:
-                    parts.append(" ".join(run))
+                    places.append(len(runs))
+                    runs.append(" ".join(run))
                     run = []
-                parts.append(_RAW + word.encode("utf-8").decode("latin-1"))
+                places.append(-1 - words.setdefault(word, len(words)))
             if run:
-                parts.append(" ".join(run))
-            out.append(parts)
-        return pd.Series(out, dtype=object)
+                places.append(len(runs))
+                runs.append(" ".join(run))
+            out.append((runs, [[byte[b] for b in w.encode("utf-8")] for w in words], places))
+        return pd.DataFrame(out, columns=["runs", "words", "places"])
 
     return cut
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id and ids: decimal ids with one space between, for each row."""
-    rank = _literal({p: str(i) for i, p in enumerate(ranks(rank_path))})
+    rank = rank_map(rank_path)
     known = dictionary(docs, pattern, rank, remembered) if remembered else {}
-    cut = docs.select("doc_id", cutter(docs.sparkSession, known, pattern)(F.col("text").cast("string")).alias("parts"))
-    ids = _let(rank, lambda r: F.transform("parts", lambda p: F.when(F.startswith(p, F.lit(_RAW)), _joined(F.substr(p, F.lit(2)), r)).otherwise(p)))
-    return cut.select("doc_id", F.array_join(ids, " ").alias("ids"))
+    cut = docs.select("doc_id", cutter(docs.sparkSession, known, rank_path, pattern)(F.col("text").cast("string")).alias("cut"))
+
+    def placed(folded: Column) -> Column:
+        return F.transform("cut.places", lambda i: F.when(i < 0, F.get(folded, -1 - i)).otherwise(F.get("cut.runs", i)))
+
+    folded = _let(rank, lambda r: F.transform("cut.words", lambda w: _joined(fold(w, r))))
+    return cut.select("doc_id", F.array_join(_let(folded, placed), " ").alias("ids"))
 
 
 def decode(ids: Column, rank_path: str) -> Column:

@@ -310,11 +310,20 @@ def test_bpe_round_trip(spark, remembered):
     path = P.path("byte_bpe_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    texts = [t for t in ODD if t is None or len(t) < 1000] + ["zx" * 300, "Unhappily, they're re-reading 12345 naïve façades…  \r\n\t end ", "<|endoftext|>", " leading", "\ue000\ue001\ue002", prose(1, 50)] * 2
+    r = random.Random(5)
+    long = ["".join(r.choice(letters) for _ in range(n)) for letters, n in (("ab", 3000), ("thequickandlazy", 1500), ("aaab", 49), ("einatshor", 60), ("日本語", 40))]
+    texts = ODD + long + ["".join(r.choice("aeinotsh") for _ in range(r.randint(1, 48))) for _ in range(150)] + ["zx" * 300, "Unhappily, they're re-reading 12345 naïve façades…  \r\n\t end ", "<|endoftext|>", " leading", "\ue000\ue001\ue002", prose(1, 50)] * 2
     got = {r.doc_id: r for r in bpe.encode(docs(spark, texts), path, P.PATTERN, remembered).withColumn("raw", bpe.decode(F.col("ids"), path)).collect()}
     for i, t in enumerate(texts):
         assert got[i].ids == " ".join(map(str, library.encode_ordinary(t or ""))), t
         assert bytes(got[i].raw) == (t or "").encode()
+    wide = docs(spark, texts[:3]).withColumn("ids", F.lit(1)).withColumn("cut", F.lit(2))
+    assert bpe.report(wide, path, P.PATTERN).count() == 3 and bpe.report(wide.limit(0), path, P.PATTERN).count() == 0
+
+
+def test_a_vocabulary_without_merges_is_refused():
+    with pytest.raises(ValueError):
+        bpe.pairs([chr(i) for i in range(256)] + ["abc"])
 
 
 # 7 pages
