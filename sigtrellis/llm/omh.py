@@ -283,13 +283,16 @@ def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
     rows = table(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_sketcher(least), _SCHEMA), "sketches")
     nodes = table(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
     placed = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = table(placed.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1), "shared")
-    buckets = table(placed.join(shared.select("key", "leader"), "key"), "buckets")
+    shared = placed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    shared = table(shared.select("key", F.col("least.node").alias("leader"), F.col("least.n").alias("leader_n")), "shared")
+    buckets = table(placed.join(shared, "key"), "buckets")
     needed = buckets.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).join(needed, "doc_id").select("node", "text")
     ids = table(texts.mapInPandas(_read, "node binary, ids binary").dropDuplicates(["node"]), "texts")
     drop(nodes)
-    followers = buckets.where(F.col("node") != F.col("leader"))
+    # texts of lengths that rule similarity out never meet their leader
+    fits = F.least("n", "leader_n") >= least * F.greatest("n", "leader_n") - 1e-9
+    followers = buckets.where((F.col("node") != F.col("leader")) & fits)
     first = followers.where(F.pmod("key", F.lit(FIRST)) == 0)
     edges = _verified(first.select(F.col("leader").alias("a"), F.col("node").alias("b")), ids, least, "stars")
     labels = components(edges, "first")
@@ -308,8 +311,10 @@ def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
     large = mixed.where(F.col("size") > SMALL).groupBy("node", "n", "label").agg(F.collect_set("key").alias("buckets"))  # as many as a node has keys
     pairs = small.unionByName(_by_rare_words(large, ids, least))
     last = _verified(pairs, ids, least, "mixed-pairs")
-    drop(named, mixed)
-    return rows, labels if last.isEmpty() else components(edges.unionByName(last), "third")
+    if not last.isEmpty():
+        labels = components(edges.unionByName(last), "third")
+    drop(shared, buckets, ids, named, mixed, last)
+    return rows, labels
 
 
 def _by_rare_words(nodes: DataFrame, ids: DataFrame, least: float) -> DataFrame:
