@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from sigtrellis.llm.session import drop, table
 
 #: Words encoded in advance, at most; each is at most LONGEST_WORD characters.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 LONGEST_WORD = 40
 #: Words of more bytes are folded by replacements.
 LONG = 48
@@ -214,7 +215,23 @@ def counts(docs: DataFrame, pattern: str) -> DataFrame:
     return docs.select(F.col("text").cast("string")).where(F.col("text") != "").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def dictionary(docs: DataFrame, pattern: str, rank: Column, remembered: int = REMEMBERED) -> dict[str, str]:
+class Known:
+    """Words and their ids: packed as Arrow on the driver and on the way, a dict in a worker that looks something up."""
+
+    def __init__(self, rows: pa.Table | None = None):
+        sink = pa.BufferOutputStream()
+        rows = pa.table({"word": pa.array([], "string"), "ids": pa.array([], "string")}) if rows is None else rows
+        with pa.ipc.new_stream(sink, rows.schema) as out:
+            out.write_table(rows)
+        self.packed, self.size = sink.getvalue().to_pybytes(), rows.num_rows
+
+    @functools.cached_property
+    def ids(self) -> dict[str, str]:
+        rows = pa.ipc.open_stream(self.packed).read_all()
+        return dict(zip(rows["word"].to_pylist(), rows["ids"].to_pylist()))
+
+
+def dictionary(docs: DataFrame, pattern: str, rank: Column, remembered: int = REMEMBERED) -> Known:
     """The ids of the words with the largest counts, of ``remembered`` at most."""
     counted = table(counts(docs, pattern).where((F.length("word") <= LONGEST_WORD) & (F.col("n") > 1)), "words")
     # counts to three binary digits: a few hundred rows tell from which count on the words fit
@@ -226,25 +243,26 @@ def dictionary(docs: DataFrame, pattern: str, rank: Column, remembered: int = RE
             break
         least = r.size
     if least is None:
-        return {}
+        return Known()
     letters = F.split(F.decode(F.col("word").cast("binary"), "ISO-8859-1"), "")
     spread = counted.where(size >= least).select("word").repartition(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
     made = table(spread.select("word", _let(rank, lambda r: _joined(fold(F.transform(letters, lambda c: F.get(r["bytes"], F.ascii(c))), r))).alias("ids")), "word-ids")
-    found = made.toArrow()
+    found = Known(made.toArrow())
     drop(counted, made)
-    return dict(zip(found["word"].to_pylist(), found["ids"].to_pylist()))
+    return found
 
 
-def cutter(spark: SparkSession, known: dict[str, str], rank_path: str, pattern: str):
+def cutter(spark: SparkSession, known: Known, rank_path: str, pattern: str):
     """A Pandas UDF from text to runs of known ids, the distinct other words as ranks of their bytes, and the places of both.
 
     A place is the number of a run, or -1 less the number of a word.
     """
-    shared, byte = spark.sparkContext.broadcast(known), [int(x) for x in _tables(rank_path)[0].split(",")]
+    byte = [int(x) for x in _tables(rank_path)[0].split(",")]
+    shared, small = spark.sparkContext.broadcast(known), bytes(byte) if max(byte) < 256 else None
 
     @F.pandas_udf("struct<runs:array<string>,words:array<array<int>>,places:array<int>>")
     def cut(texts: pd.Series) -> pd.DataFrame:
-        find, ids_of, out = regex.compile(spelled_out(pattern)).findall, shared.value.get, []
+        find, ids_of, out = regex.compile(spelled_out(pattern)).findall, shared.value.ids.get, []
         for text in texts:
             runs, run, words, places = [], [], {}, []
             for word in find(text) if text else ():
@@ -260,7 +278,8 @@ def cutter(spark: SparkSession, known: dict[str, str], rank_path: str, pattern:
             if run:
                 places.append(len(runs))
                 runs.append(" ".join(run))
-            out.append((runs, [[byte[b] for b in w.encode("utf-8")] for w in words], places))
+            encoded = map(str.encode, words)
+            out.append((runs, [list(w.translate(small)) for w in encoded] if small else [[byte[b] for b in w] for w in encoded], places))
         return pd.DataFrame(out, columns=["runs", "words", "places"])
 
     return cut
@@ -269,7 +288,7 @@ def cutter(spark: SparkSession, known: dict[str, str], rank_path: str, pattern:
 def encode(docs: DataFrame, rank_path: str, pattern: str, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id and ids: decimal ids with one space between, for each row."""
     rank = rank_map(rank_path)
-    known = dictionary(docs, pattern, rank, remembered) if remembered else {}
+    known = dictionary(docs, pattern, rank, remembered) if remembered else Known()
     cut = docs.select("doc_id", cutter(docs.sparkSession, known, rank_path, pattern)(F.col("text").cast("string")).alias("cut"))
 
     def placed(folded: Column) -> Column:
