@@ -11,12 +11,15 @@ automaton is the usual case and needs a single scan; more are run one after the
 other over a checkpointed table, so a worker never holds more than one.
 
 Null text has no words. Items that are null or without words give no window.
-Repeated rows of documents give repeated rows; repeated item ids count once.
+Repeated rows of documents give repeated rows; repeated item ids count once. Without
+items nothing is hit, and an empty table of documents gives an empty result. Extra
+columns stay as they are, but for one called ``leak``, which ``find`` replaces.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -35,7 +38,8 @@ _FOLD = bytes(
 )
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _RESULT = "struct<n_words:bigint,hits:binary,n_hit:bigint,items:array<string>,spans:array<struct<start:int,end:int>>>"
-_AUTOMATA: dict[int, object] = {}
+#: A worker's automaton, by the number of the part it was built from.
+_AUTOMATA: dict[str, object] = {}
 
 
 def words(text: str | None) -> list[bytes]:
@@ -116,11 +120,10 @@ def _parts(benchmark: DataFrame, item_col: str, text_col: str, size: int, max_wi
 
 def matcher(spark: SparkSession, part: dict):
     """A Pandas UDF from text to what one automaton finds in it."""
-    shared = spark.sparkContext.broadcast(part)
+    shared, key = spark.sparkContext.broadcast(part), uuid.uuid4().hex
 
     @F.pandas_udf(_RESULT)
     def find(text: pd.Series) -> pd.DataFrame:
-        key = id(shared.value)
         if key not in _AUTOMATA:
             _AUTOMATA.clear()
             _AUTOMATA[key] = automaton(shared.value)

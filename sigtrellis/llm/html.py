@@ -1,16 +1,20 @@
 """Main text of web pages by composite text density.
 
-The page becomes a tree; scripts, forms, menus, adverts, notices, comments and
-other parts that their tag, role or class names are taken out first. Each node then
-has a composite density: characters per tag, lowered by the share of link text and
-link tags. A node's sum is that of its children's densities. The node of largest
-sum is chosen; on the way from it up to the body, siblings whose density reaches
-the least density of that way belong to it too, and an enclosing article or main
-element is taken whole.
+The page becomes a tree. Each node, menus and adverts included, has a composite
+density: characters per tag, lowered by the share of link text and link tags. A node's
+sum is that of its children's densities. Parts that their tag, role or class names as
+scripts, forms, menus, adverts, notices or comments can't be chosen and give no text.
+Of the other nodes the one of largest sum is chosen. The threshold is the density of
+the body, the end of the way up from that node: the highest node on that way that is
+denser than the threshold by ``MARGIN`` is the main text, and beside it, siblings on the
+rest of the way up that reach the least density of the way. No tag is preferred to
+others.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks are trimmed, and those with text are joined by one line feed. Null, empty
-and text-free pages give an empty text. Repeated rows stay repeated.
+and text-free pages give an empty text. Of nodes with equal sums the one with more
+text, then the first, is chosen. Repeated rows stay repeated, an empty table gives an
+empty result, and columns other than page_id, url and html aren't read.
 """
 
 from __future__ import annotations
@@ -43,6 +47,10 @@ _ENDS = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]),
     "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "option": frozenset(["option", "optgroup"]),
 }
+#: How much denser than the body what holds the main text has to be.
+MARGIN = 1.02
+#: Elements whose text is never shown.
+_UNSEEN = frozenset("head script style noscript template".split())
 _SCOPE = frozenset("table ul ol dl article section div main body html td th".split())
 
 
@@ -103,12 +111,12 @@ class Tree(HTMLParser):
 
 
 def _walk(root: Node) -> list[tuple[Node, Node | None]]:
-    """Kept nodes with their parents, parents first."""
+    """Nodes whose text can be seen, with their parents, parents first."""
     out, stack = [], [(root, None)]
     while stack:
         node, parent = stack.pop()
         out.append((node, parent))
-        stack.extend((k, node) for k in reversed(node.kids) if isinstance(k, Node) and not k.drop)
+        stack.extend((k, node) for k in reversed(node.kids) if isinstance(k, Node) and k.tag not in _UNSEEN)
     return out
 
 
@@ -122,7 +130,7 @@ def _measure(nodes: list[tuple[Node, Node | None]]) -> None:
             parent.tags += node.tags + 1
             parent.link_chars += node.link_chars
             parent.link_tags += node.link_tags
-    body = next((n for n, _ in nodes if n.tag == "body"), nodes[0][0])
+    body = _body(nodes)
     share = body.link_chars / max(1, body.chars)
     for node, parent in reversed(nodes):
         c, t, lc, lt = node.chars, max(1, node.tags), max(1, node.link_chars), max(1, node.link_tags)
@@ -133,23 +141,27 @@ def _measure(nodes: list[tuple[Node, Node | None]]) -> None:
             parent.total += node.density
 
 
+def _body(nodes: list[tuple[Node, Node | None]]) -> Node:
+    return next((n for n, _ in nodes if n.tag == "body"), nodes[0][0])
+
+
 def _chosen(nodes: list[tuple[Node, Node | None]]) -> list[Node]:
-    up = {id(n): p for n, p in nodes}
-    best = max((n for n, _ in nodes), key=lambda n: (n.total, n.chars))
-    if not best.total:
-        best = nodes[0][0]
+    up, body, hidden = {id(n): p for n, p in nodes}, _body(nodes), set()
+    for node, parent in nodes:
+        if node.drop or id(parent) in hidden:
+            hidden.add(id(node))
+    best = max((n for n, _ in nodes if id(n) not in hidden), key=lambda n: (n.total, n.chars), default=body)
     path = [best]
-    while (p := up[id(path[-1])]) is not None:
+    while path[-1] is not body and (p := up[id(path[-1])]) is not None:
         path.append(p)
-    for node in reversed(path):
-        if node.tag in ("article", "main"):
-            return [node]
-    least = min(n.density for n in path if n.tag != "html") if len(path) > 1 else 0.0
-    out = {id(best)}
-    for below, node in zip(path, path[1:]):
-        if node.tag == "html":
-            break
-        out |= {id(k) for k in node.kids if isinstance(k, Node) and not k.drop and k is not below and k.density >= least and k.tag in BLOCK}
+    dense = [i for i, n in enumerate(path[:-1]) if n.density >= MARGIN * path[-1].density]
+    top = dense[-1] if dense else 0
+    least = min(n.density for n in path[top:])
+    out = {id(path[top])}
+    if path[top].tag not in ("body", "html"):
+        for below, node in zip(path[top:], path[top + 1 :]):
+            if node is not body:
+                out |= {id(k) for k in node.kids if isinstance(k, Node) and id(k) not in hidden and k is not below and k.density >= least and k.tag in BLOCK}
     return [n for n, _ in nodes if id(n) in out]
 
 

@@ -11,7 +11,10 @@ doc_id. Neither labels, lang, source nor doc_id enter a score.
 
 Null and empty texts have all features 0 and get the score that follows from
 them. Without labels of both kinds every score is 0. Repeated label rows of a
-document count once, with the largest label; null labels and ids don't count.
+document count once, with the largest label; null labels and ids don't count. Of
+several texts of one doc_id the greatest is learned from; each row gets the score of
+its own text. Empty tables give empty results. Extra columns aren't read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -164,6 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most `sample` rows of two numbers: the size that bounds this broadcast
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    # one text of each doc_id, the greatest, so that no more than ``sample`` rows are learned from
+    rows = rows.groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
     rows = rows.persist(StorageLevel.DISK_ONLY)
     try:
         seen = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -178,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         table = rows.select("doc_id", "toxic", dense("text").alias("x")).toPandas()
     finally:
         rows.unpersist()
-    table = table.assign(key=[str(list(x)) for x in table.x]).sort_values(["doc_id", "key"], kind="stable").head(2 * sample)
+    table = table.sort_values("doc_id", kind="stable")
     x, y = np.stack(table.x.to_list()).astype(float), table.toxic.to_numpy(dtype=float)
     part = np.arange(len(y)) % 3
     out = np.zeros(len(y))

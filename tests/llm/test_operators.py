@@ -347,6 +347,28 @@ def test_page_without_article():
     assert html.extract(f"<body>{body}</body>").split("\n") == [f"Paragraph {i} has quite some words to be the main text of this page." for i in range(5)]
 
 
+def plain_densities(node):
+    """Characters, tags, link characters, link tags of a node by their definition."""
+    inside = [plain_densities(k) for k in node.kids if isinstance(k, html.Node) and k.tag not in html._UNSEEN]
+    chars = sum(len("".join(k.split())) for k in node.kids if isinstance(k, str)) + sum(x[0] for x in inside)
+    tags, link_tags = sum(x[1] + 1 for x in inside), sum(x[3] for x in inside)
+    return (chars, tags, chars, link_tags + 1) if node.tag == "a" else (chars, tags, sum(x[2] for x in inside), link_tags)
+
+
+def test_densities_choose_whatever_the_tags_are(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    for h in pages:
+        plain = re.sub(r"(</?)(article|main)\b", r"\1div", h)
+        assert plain != h and html.extract(plain) == html.extract(h) != ""
+    tree = html.Tree()
+    tree.feed(pages[0])
+    nodes = html._walk(tree.root)
+    html._measure(nodes)
+    for n, _ in nodes:
+        assert (n.chars, n.tags, n.link_chars, n.link_tags) == plain_densities(n)
+        assert n.total == pytest.approx(sum(k.density for k in n.kids if isinstance(k, html.Node) and k.tag not in html._UNSEEN))
+
+
 # 8 token counts
 
 def test_token_counts(spark):
@@ -408,6 +430,10 @@ def test_toxicity(spark):
     assert kept.columns == d.columns and kept.count() == sum(1 - x.predicted for x in got.values())
     assert {x.score for x in toxicity.score(d, lab.limit(0)).collect()} == {0.0}
     assert toxicity.score(d.limit(0), lab).count() == 0
+    brier = np.mean([(got[i].score - labels[i][1]) ** 2 for i in held])
+    assert brier < 0.05
+    twice = toxicity.fit(d.unionByName(d), lab)
+    assert np.allclose(twice.score(texts[:50]), [got[i].score for i in range(50)])
     flipped = lab.withColumn("toxic", F.when(toxicity.is_held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert {x.doc_id: x.score for x in toxicity.score(d, flipped).collect()} == {i: x.score for i, x in got.items()}
 
@@ -424,3 +450,59 @@ def test_isotonic_never_falls():
     s = np.random.default_rng(1).normal(size=300)
     knots, levels = boosting.isotonic(s, (s + np.random.default_rng(2).normal(size=300) > 0).astype(float))
     assert (np.diff(knots) >= 0).all() and (np.diff(levels) >= 0).all()
+
+
+# the pipeline
+
+def test_pipeline_keeps_what_each_stage_keeps(spark, tmp_path):
+    """run() against the stages' plain versions, on a small table with every odd case."""
+    import corpus_pipeline as pipe
+
+    r, insults = random.Random(7), ["grobble", "snarfish", "idiot"]
+    texts, toxic = [], []
+    for i in range(300):
+        w = prose(i, 60).split()
+        toxic.append(r.random() < 0.3)
+        for _ in range(4 * toxic[-1]):
+            w[r.randrange(60)] = r.choice(insults)
+        texts.append(" ".join(w))
+    item, line = prose(900, 30), "this line is shared by many documents and long enough to count"
+    base = prose(901, 120).split()
+    texts += [f"{prose(1000 + i, 30)}\n{line}" for i in range(7)] + [" ".join(base), " ".join(w if i != 50 else "new" for i, w in enumerate(base)), " ".join(base)]
+    texts += [f"{prose(1100, 20)} {item}", None, "", "\n\n"] + [t for t in ODD if t]
+    rows = [(i, t, "en", None, len(t or "")) for i, t in enumerate(texts)]
+    rows += [rows[5], (None, "a text without an id", "en", "s", 5)]
+    folder = str(tmp_path)
+    write = lambda data, kind, name: spark.createDataFrame(data, kind).write.parquet(f"{folder}/{name}.parquet")
+    write(rows, "doc_id long, text string, lang string, source string, n_chars long", "documents")
+    write([(i, int(toxic[i]), 1) for i in range(300)], "doc_id long, toxic int, quality int", "labels")
+    write([("b", item), (None, None)], "item_id string, text string", "benchmark")
+    got = pipe.run(spark, folder).collect()
+
+    docs_ = spark.read.parquet(f"{folder}/documents.parquet")
+    bad = {x.doc_id for x in toxicity.score(docs_, spark.read.parquet(f"{folder}/labels.parquet")).collect() if x.predicted}
+    assert np.mean([(i in bad) == toxic[i] for i in range(300)]) > 0.97
+    kept = [(i, t) for i, t, *_ in rows if i not in bad]
+    who = {}
+    for i, t in kept:
+        for x in (t or "").split("\n"):
+            if i is not None and len(x.strip(" \t\n\x0b\x0c\r")) >= 40:
+                who.setdefault(x.strip(" \t\n\x0b\x0c\r").lower(), set()).add(i)
+    drop = {k: max(v) for k, v in who.items() if len(v) >= 5}
+    clean = {(i, "\n".join(x for x in (t or "").split("\n") if i is None or drop.get(x.strip(" \t\n\x0b\x0c\r").lower(), i) == i)) for i, t in kept}
+    named = sorted((x for x in clean if x[0] is not None), key=lambda x: x[0])
+    words_ = {i: omh.numbers(omh.words(t)) for i, t in named}
+    least = {}
+    for i, _ in named:
+        alike = [least[j] for j in least if len(words_[i]) and len(words_[j]) and omh.similarity(words_[i], words_[j]) >= 0.8]
+        least[i] = min(alike, default=i)
+    left = [(i, t) for i, t in named if least[i] == i] + [x for x in clean if x[0] is None]
+    left = [(i, t) for i, t in left if not brute_leaks(t, [("b", item)])[4]]
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for i, t in left:
+        ids = library.encode_ordinary(t)
+        want.append((i, len(ids), sha(" ".join(map(str, ids))), sha(t)))
+    order = lambda x: (x[0] is None, x)
+    assert sorted(((x.doc_id, x.n_tokens, x.ids_sha256, x.decoded_sha256) for x in got), key=order) == sorted(want, key=order)
