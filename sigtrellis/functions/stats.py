@@ -99,3 +99,18 @@ def element_moments(rows: DataFrame, key: str, values: str = "w") -> DataFrame:
     """Mean, deviation (ddof 1) and standard error at each place of a group's arrays: templates of snippets."""
     long = rows.select(key, F.posexplode(values).alias("place", "x"))
     return long.groupBy(key, "place").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), (F.stddev_samp("x") / F.sqrt(F.count("x"))).alias("se"))
+
+
+def bin_centres(low: float, high: float, bins: int) -> list[float]:
+    """The middles of equal bins."""
+    return [low + (high - low) * (i + 0.5) / bins for i in range(bins)]
+
+
+def peak_lag(correlation: DataFrame) -> DataFrame:
+    """lag, r, exact: the lag of the largest r (the least of equal ones), and the top of the parabola through it and its neighbours."""
+    c = correlation.select(F.col("lag").cast("int").alias("lag"), "r")
+    top = c.agg(F.max(F.struct("r", (-F.col("lag")).alias("at"))).alias("m")).select((-F.col("m.at")).alias("lag"), F.col("m.r").alias("r"))  # one row
+    near = c.join(F.broadcast(top.select(F.col("lag").alias("_top"))), F.abs(F.col("lag") - F.col("_top")) == 1)
+    sides = near.agg(F.max(F.when(F.col("lag") < F.col("_top"), F.col("r"))).alias("a"), F.max(F.when(F.col("lag") > F.col("_top"), F.col("r"))).alias("b"))
+    bend = F.col("a") - 2 * F.col("r") + F.col("b")
+    return top.crossJoin(F.broadcast(sides)).select("lag", "r", F.coalesce(F.col("lag") + F.when(bend != 0, (F.col("a") - F.col("b")) / (2 * bend)), F.col("lag").cast("double")).alias("exact"))

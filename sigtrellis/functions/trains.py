@@ -190,3 +190,34 @@ def greedy_units(scores: DataFrame, least: float = 0.0) -> DataFrame:
             return top if out is None else out
         out = top if out is None else out.unionByName(top)
         left = left.join(top.select("unit_a"), "unit_a", "left_anti").join(top.select("unit_b"), "unit_b", "left_anti")
+
+
+def as_of(rows: DataFrame, knots: DataFrame, value: str, key: str = "unit") -> DataFrame:
+    """rows (key, s, ...) with ``value`` of the knot (key, s, value) at s or last before it, null before the first, by one shuffle and sort.
+
+    Of knots of one key and place the largest value counts; rows at a knot's place see it.
+    """
+    names = [c for c in rows.columns if c not in (key, "s")]
+    left = rows.select(key, "s", F.lit(1).alias("_side"), F.struct(*[F.col(c) for c in names]).alias("_row"), F.lit(None).cast(knots.schema[value].dataType).alias("_value"))
+    once = knots.where(F.col("s").isNotNull()).groupBy(key, "s").agg(F.max(value).alias("_value"))
+    right = once.select(key, "s", F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), "_value")
+    seen = F.last("_value", ignorenulls=True).over(Window.partitionBy(key).orderBy("s", "_side"))
+    return left.unionByName(right).withColumn("_seen", seen).where(F.col("_side") == 1).select(key, "s", *[F.col(f"_row.`{c}`").alias(c) for c in names], F.col("_seen").alias(value))
+
+
+def amplitude_histogram(trains: DataFrame, low: float, high: float, bins: int) -> DataFrame:
+    """unit, bin, n of amplitudes (amp) from low to high; the last bin holds its upper edge, empty bins are left out."""
+    at = F.when(F.col("amp") == high, bins - 1).otherwise(F.floor((F.col("amp") - low) / ((high - low) / bins)))
+    return trains.where(F.col("amp").between(low, high)).groupBy("unit", at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def without_small(labelled: DataFrame, least: int, label: str = "label") -> DataFrame:
+    """Rows of labels with at least so many rows; labels below zero are noise and stay."""
+    sizes = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") >= least) | (F.col(label) < 0)).select(label)
+    return labelled.join(sizes, label, "left_semi")
+
+
+def stride(rows: DataFrame, every: int, key: str = "unit") -> DataFrame:
+    """Every so manieth row of a key in order of s, from the first."""
+    at = F.row_number().over(Window.partitionBy(key).orderBy("s"))
+    return rows.withColumn("_at", at).where((F.col("_at") - 1) % every == 0).drop("_at")

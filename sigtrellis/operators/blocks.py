@@ -139,7 +139,7 @@ def halo(chain: Sequence[Kernel]) -> tuple[int, int]:
 
 
 def run(signal: DataFrame, chain: Sequence[Kernel], block: int = BLOCK) -> DataFrame:
-    """ch, s, v after the chain. signal: ch, s (0.. without gaps), v; null values count as zero."""
+    """ch, s, v after the chain, for each sample that is there. signal: ch, s, v; null values and samples missing in between count as zero."""
     left, right = halo(chain)
     # the number of samples: one number, for the true ends
     ends = signal.agg(F.min("s"), F.max("s")).first()
@@ -152,12 +152,14 @@ def run(signal: DataFrame, chain: Sequence[Kernel], block: int = BLOCK) -> DataF
 
     def kernel(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("s", kind="stable")
-        s, x = rows["s"].to_numpy(), rows["v"].to_numpy()
-        first, last = bool(s[0] <= lo), bool(s[-1] >= hi)
+        s = rows["s"].to_numpy()
+        a, b = max(lo, lo + key[1] * block - left), min(hi, lo + (key[1] + 1) * block - 1 + right)
+        x = np.zeros(b - a + 1)
+        x[s - a] = rows["v"].to_numpy()
         for k in chain:
-            x = k.apply(x, first, last)
-        own = (s >= lo + key[1] * block) & (s < lo + (key[1] + 1) * block)
-        return pd.DataFrame({"ch": np.full(own.sum(), key[0]), "s": s[own], "v": x[own]})
+            x = k.apply(x, bool(a <= lo), bool(b >= hi))
+        own = s[(s >= lo + key[1] * block) & (s < lo + (key[1] + 1) * block)]
+        return pd.DataFrame({"ch": np.full(len(own), key[0]), "s": own, "v": x[own - a]})
 
     return read.groupBy("ch", "win").applyInPandas(kernel, _LONG)
 

@@ -8,53 +8,69 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def crossings(signal: DataFrame, level: float, release: float | None = None, channel: str = "ch", min_duration: int = 0, refractory: int = 0) -> DataFrame:
+def crossings(signal: DataFrame, level: float, release: float | None = None, channel: str = "ch", min_duration: int = 0, refractory: int = 0, direction: str = "rising") -> DataFrame:
     """channel, onset, offset (null while open), peak_sample, peak_value of each crossing.
 
     An onset is a sample at or above the level after one below it, outside an event;
     an event ends at the first sample below the release after one at or above it. The
     first sample of a channel is never an onset. Events shorter than ``min_duration``
-    go; ``refractory`` keeps onsets away from the offset of the last kept event.
+    go; after the offset of a kept event no event opens for ``refractory`` samples, but
+    the next onset from then on does. ``falling`` is the same of the negated signal,
+    levels and values as they are in the signal.
     """
+    if direction not in ("rising", "falling"):
+        raise ValueError("crossings: the direction is rising or falling")
     release = level if release is None else release
-    if release > level:
-        raise ValueError("crossings: the release is above the level")
+    sign = 1 if direction == "rising" else -1
+    if sign * release > sign * level:
+        raise ValueError("crossings: the release is past the level")
     w = Window.partitionBy(channel).orderBy("s")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    v, p = F.col("v"), F.lag("v").over(w)
-    flagged = signal.select(channel, "s", "v", F.when((p < level) & (v >= level), 1).when((p >= release) & (v < release), 0).alias("flag"))
-    held = flagged.withColumn("held", F.coalesce(F.last("flag", ignorenulls=True).over(before), F.lit(0)))
-    turns = held.withColumn("island", F.sum(F.when((F.col("flag") == 1) & (F.col("held") == 0), 1).otherwise(0)).over(w))
-    ends = (F.col("flag") == 0) & (F.col("held") == 1)
-    open_ = (F.col("held") == 1) | (F.col("flag") == 1)
-    # the sample that ends an event is past it
-    inside = turns.where((F.col("island") > 0) & open_)
-    found = inside.groupBy(channel, "island").agg(
-        F.min("s").alias("onset"),
-        F.min(F.when(ends, F.col("s"))).alias("offset"),
-        F.max(F.when(~ends | F.col("flag").isNull(), F.struct(F.col("v").alias("value"), (-F.col("s")).alias("at")))).alias("peak"),
-    )
-    events = found.select(channel, "onset", "offset", (-F.col("peak.at")).alias("peak_sample"), F.col("peak.value").alias("peak_value"))
-    if not min_duration and not refractory:
-        return events
-    return _kept(events, channel, min_duration, refractory)
-
-
-def _kept(events: DataFrame, channel: str, min_duration: int, refractory: int) -> DataFrame:
-    """Only a kept event starts a refractory time, so the events of a channel are folded in order."""
-    rows = events.groupBy(channel).agg(F.array_sort(F.collect_list(F.struct("onset", "offset", "peak_sample", "peak_value"))).alias("all"))
+    v, p = F.col("v") * sign, F.lag("v").over(w) * sign
+    up, down = (p < sign * level) & (v >= sign * level), (p >= sign * release) & (v < sign * release)
+    flagged = signal.select(channel, "s", "v", F.when(up, 1).when(down, 0).alias("flag"))
+    if min_duration or refractory:
+        marks = _kept(flagged.where(F.col("flag").isNotNull()), channel, min_duration, refractory)
+        opened = flagged.join(marks.select(channel, F.col("onset").alias("s"), F.struct("onset", "offset").alias("mark")), [channel, "s"], "left")
+        last = F.last("mark", ignorenulls=True).over(w)
+        inside = opened.withColumn("event", last).where(F.col("event").isNotNull() & (F.col("event.offset").isNull() | (F.col("s") < F.col("event.offset"))))
+        top = F.max(F.struct((F.col("v") * sign).alias("value"), (-F.col("s")).alias("at"))).alias("peak")
+        found = inside.groupBy(channel, "event").agg(top).select(channel, "event.onset", "event.offset", "peak")
+    else:
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        held = flagged.withColumn("held", F.coalesce(F.last("flag", ignorenulls=True).over(before), F.lit(0)))
+        turns = held.withColumn("island", F.sum(F.when((F.col("flag") == 1) & (F.col("held") == 0), 1).otherwise(0)).over(w))
+        ends = (F.col("flag") == 0) & (F.col("held") == 1)
+        open_ = (F.col("held") == 1) | (F.col("flag") == 1)
+        # the sample that ends an event is past it
+        found = turns.where((F.col("island") > 0) & open_).groupBy(channel, "island").agg(
+            F.min("s").alias("onset"),
+            F.min(F.when(ends, F.col("s"))).alias("offset"),
+            F.max(F.when(~ends | F.col("flag").isNull(), F.struct((F.col("v") * sign).alias("value"), (-F.col("s")).alias("at")))).alias("peak"),
+        )
+    return found.select(channel, "onset", "offset", (-F.col("peak.at")).alias("peak_sample"), (F.col("peak.value") * sign).alias("peak_value"))
+
+
+def _kept(flags: DataFrame, channel: str, min_duration: int, refractory: int) -> DataFrame:
+    """channel, onset, offset of the events that crossings (s, flag: 1 up, 0 down) open and close, folded in order: only a kept event starts a refractory time."""
+    rows = flags.groupBy(channel).agg(F.array_sort(F.collect_list(F.struct("s", "flag"))).alias("all"))
+    event = "struct<onset:bigint,offset:bigint>"
+
+    def made(onset: Column, offset: Column) -> Column:
+        return F.array(F.struct(onset.cast("bigint").alias("onset"), offset.cast("bigint").alias("offset")))
 
     def step(state: Column, e: Column) -> Column:
-        good = (e["onset"] >= state["ready"]) & (e["offset"].isNull() | (e["offset"] - e["onset"] >= min_duration))
+        up, s, onset = e["flag"] == 1, e["s"].cast("bigint"), state["onset"]
+        closes = ~up & onset.isNotNull()
+        good = closes & (s - onset >= min_duration)
         return F.struct(
-            F.when(good & e["offset"].isNotNull(), e["offset"] + refractory).otherwise(state["ready"]).alias("ready"),
-            F.when(good, F.concat(state["kept"], F.array(e))).otherwise(state["kept"]).alias("kept"),
+            F.when(closes, F.lit(None).cast("bigint")).when(up & onset.isNull() & (s >= state["ready"]), s).otherwise(onset).alias("onset"),
+            F.when(good, s + refractory).otherwise(state["ready"]).alias("ready"),
+            F.when(good, F.concat(state["kept"], made(onset, s))).otherwise(state["kept"]).alias("kept"),
         )
 
-    kind = dict(rows.dtypes)["all"]
-    start = F.struct(F.lit(-(2**62)).cast("long").alias("ready"), F.array().cast(kind).alias("kept"))
-    kept = F.aggregate("all", start, step, lambda s: s["kept"])
-    return rows.select(channel, F.explode(kept).alias("e")).select(channel, "e.*")
+    start = F.struct(F.lit(None).cast("bigint").alias("onset"), F.lit(-(2**62)).cast("bigint").alias("ready"), F.array().cast(f"array<{event}>").alias("kept"))
+    finish = lambda s: F.when(s["onset"].isNotNull(), F.concat(s["kept"], made(s["onset"], F.lit(None)))).otherwise(s["kept"])
+    return rows.select(channel, F.explode(F.aggregate("all", start, step, finish)).alias("e")).select(channel, "e.*")
 
 
 def peak_candidates(signal: DataFrame, height: float, sign: int = 1, channel: str = "ch") -> DataFrame:

@@ -132,15 +132,16 @@ def monopoles(amplitudes: DataFrame, sites: dict[int, Sequence[float]], rounds:
 
 
 def presets(name: str, count: int = 384) -> list[tuple[int, float, float]]:
-    """Site, x, y of common probes: neuropixels1, neuropixels2, tetrode, emg_grid (8 columns), utah."""
+    """Site, x, y of common probes: neuropixels1, neuropixels2 (four shanks of 96), tetrode (a cross), emg_grid (8 columns), utah (without corners)."""
     if name == "neuropixels1":
         return [(i, (43.0, 11.0, 59.0, 27.0)[i % 4], 20.0 * (i // 2)) for i in range(count)]
     if name == "neuropixels2":
-        return [(i, 32.0 * (i % 2), 15.0 * (i // 2)) for i in range(count)]
+        return [(i, 250.0 * (i // 96) + 32.0 * (i % 2), 15.0 * (i % 96 // 2)) for i in range(count)]
     if name == "tetrode":
-        return [(i, 25.0 * (i % 2), 25.0 * (i // 2)) for i in range(4)]
+        return [(0, -12.5, 0.0), (1, 12.5, 0.0), (2, 0.0, -12.5), (3, 0.0, 12.5)]
     if name == "emg_grid":
         return [(i, 8000.0 * (i % 8), 8000.0 * (i // 8)) for i in range(count)]
     if name == "utah":
-        return [(i, 400.0 * (i % 10), 400.0 * (i // 10)) for i in range(min(count, 100))]
+        cells = [(row, col) for row in range(10) for col in range(10) if not (row in (0, 9) and col in (0, 9))]
+        return [(i, 400.0 * col, 400.0 * row) for i, (row, col) in enumerate(cells)][:count]
     raise ValueError(f"no probe called {name}")

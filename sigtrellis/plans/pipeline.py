@@ -54,7 +54,7 @@ NODES: dict[str, dict[str, object]] = {
     "median": {"width": REQUIRED},
     "teager_kaiser": {},
     "resample": {"up": REQUIRED, "down": REQUIRED},
-    "crossings": {"level": REQUIRED, "release": None, "min_duration": 0, "refractory": 0},
+    "crossings": {"level": REQUIRED, "release": None, "min_duration": 0, "refractory": 0, "min_duration_ms": None, "refractory_ms": None, "direction": "rising"},
 }
 EXECUTION = {"mode": "windows", "block": blocks.BLOCK, "rate": 1.0}
 #: What a live run needs of an operation: nothing, so many past samples, or the whole recording.
@@ -111,8 +111,10 @@ def load(text: str | dict) -> Spec:
             errors.append(f"{name} is part of a circle")
         if node["op"] == "iir" and node["design"] == "chebyshev1" and node["ripple"] is None:
             errors.append(f"{name}: chebyshev1 needs ripple")
-        if node["op"] == "crossings" and node.get("release") is not None and node["release"] > node.get("level", node["release"]):
-            errors.append(f"{name}: the release is above the level")
+        if node["op"] == "crossings" and node["direction"] not in ("rising", "falling"):
+            errors.append(f"{name}: the direction is rising or falling")
+        elif node["op"] == "crossings" and node.get("release") is not None and "level" in node and (node["release"] > node["level"]) == (node["direction"] == "rising") and node["release"] != node["level"]:
+            errors.append(f"{name}: the release is past the level")
         if node["op"] == "clamp" and node.get("min", 0) > node.get("max", 0):
             errors.append(f"{name}: min is above max")
     execution = doc.get("execution", {})
@@ -196,7 +198,8 @@ def _apply(signal: DataFrame, node: dict, rate: float, block: int) -> DataFrame:
         return signal.withColumn("v", temporal.teager_kaiser(F.col("v"), temporal.over()))
     if op == "resample":
         return blocks.resample(signal, node["up"], node["down"], block)
-    return events.crossings(signal, node["level"], node["release"], "ch", node["min_duration"], node["refractory"])
+    samples = lambda key: node[key] if node[f"{key}_ms"] is None else round(node[f"{key}_ms"] * rate / 1000)
+    return events.crossings(signal, node["level"], node["release"], "ch", samples("min_duration"), samples("refractory"), node["direction"])
 
 
 def plan(spec: Spec) -> list[dict]:
@@ -241,11 +244,17 @@ def run(spark: SparkSession, spec: Spec | str | dict, tables: dict[str, DataFram
 #: Named chains of operations with parameters that a caller may override as "<op>.<parameter>".
 RECIPES: dict[str, list[dict]] = {
     "spike band": [{"op": "iir", "band": "bandpass", "freqs": [300.0, 6000.0]}, {"op": "cmr"}],
-    "lfp": [{"op": "iir", "band": "lowpass", "freqs": [300.0]}],
-    "emg envelope": [{"op": "iir", "band": "bandpass", "freqs": [20.0, 450.0]}, {"op": "rectify"}, {"op": "iir", "band": "lowpass", "freqs": [10.0], "order": 2}],
-    "rms": [{"op": "square"}, {"op": "gaussian", "sigma": 50.0}, {"op": "sqrt"}],
-    "mains": [{"op": "notch", "freq": 50.0}, {"op": "notch", "freq": 100.0}],
-    "emg onsets": [{"op": "iir", "band": "bandpass", "freqs": [20.0, 450.0]}, {"op": "rectify"}, {"op": "crossings", "level": 5.0}],
+    "lfp": [{"op": "iir", "band": "lowpass", "freqs": [300.0], "order": 4}, {"op": "car"}],
+    "emg envelope": [{"op": "iir", "band": "bandpass", "freqs": [20.0, 450.0], "order": 4}, {"op": "teager_kaiser"}, {"op": "gaussian", "sigma": 20.0}],
+    "emg envelope (rectified)": [{"op": "iir", "band": "bandpass", "freqs": [20.0, 450.0], "order": 4}, {"op": "rectify"}, {"op": "iir", "band": "lowpass", "freqs": [6.0], "order": 4}],
+    "rms": [{"op": "square"}, {"op": "iir", "band": "lowpass", "freqs": [10.0], "order": 4}, {"op": "sqrt"}],
+    "mains": [{"op": "notch", "freq": 60.0, "q": 30.0}, {"op": "notch", "freq": 120.0, "q": 30.0}],
+    "emg onsets": [
+        {"op": "iir", "band": "bandpass", "freqs": [20.0, 450.0], "order": 4},
+        {"op": "rectify"},
+        {"op": "iir", "band": "lowpass", "freqs": [6.0], "order": 4},
+        {"op": "crossings", "level": 50.0, "release": 25.0, "min_duration_ms": 30.0, "refractory_ms": 80.0},
+    ],
 }
 
 

@@ -167,7 +167,18 @@ def crossings(spark: SparkSession, sf: str) -> DataFrame:
     return events.crossings(signal(spark, sf), 60.0, 30.0)
 
 
-@register("crossings_refractory")
+@register(
+    "crossings_refractory",
+    f"""WITH RECURSIVE x AS (SELECT *, lag(v) OVER {_ORDER} AS p FROM {_SIGNAL}),
+    f AS (SELECT ch, s, p < 60 AND v >= 60 AS up, row_number() OVER {_ORDER} AS k FROM x WHERE (p < 60 AND v >= 60) OR (p >= 30 AND v < 30)),
+    st AS (SELECT ch, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS onset, CAST(-1000000 AS BIGINT) AS ready, CAST(NULL AS BIGINT) AS o, CAST(NULL AS BIGINT) AS e FROM (SELECT DISTINCT ch FROM f)
+        UNION ALL SELECT f.ch, f.k, CASE WHEN up AND onset IS NULL THEN CASE WHEN s >= ready THEN s END WHEN up THEN onset END,
+            CASE WHEN NOT up AND s - onset >= 100 THEN s + 500 ELSE ready END, CASE WHEN NOT up AND s - onset >= 100 THEN onset END, CASE WHEN NOT up AND s - onset >= 100 THEN s END
+        FROM st JOIN f ON f.ch = st.ch AND f.k = st.k + 1),
+    e AS (SELECT ch, o AS onset, e AS "offset" FROM st WHERE o IS NOT NULL UNION ALL SELECT ch, onset, NULL FROM (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY ch ORDER BY k DESC) = 1) WHERE onset IS NOT NULL),
+    m AS (SELECT e.ch, onset, "offset", max(v) AS peak_value FROM e JOIN x ON x.ch = e.ch AND x.s >= onset AND ("offset" IS NULL OR x.s < "offset") GROUP BY ALL)
+    SELECT m.ch, onset, "offset", min(x.s) AS peak_sample, peak_value FROM m JOIN x ON x.ch = m.ch AND x.v = m.peak_value AND x.s >= onset AND ("offset" IS NULL OR x.s < "offset") GROUP BY ALL""",
+)
 def crossings_refractory(spark: SparkSession, sf: str) -> DataFrame:
     return events.crossings(signal(spark, sf), 60.0, 30.0, min_duration=100, refractory=500)
 
@@ -267,10 +278,9 @@ def cross_correlation(spark: SparkSession, sf: str) -> DataFrame:
     return stats.cross_correlation(frames(spark, sf), 0, 2, 5).select("lag", F.round("r", 5).alias("r"))
 
 
-@register("covariance", f"WITH x AS (SELECT * FROM {_LONG} WHERE ch < 12) SELECT CAST(a.ch AS INT) AS i, CAST(b.ch AS INT) AS j, round(covar_pop(a.v, b.v), 7) AS c FROM x a JOIN x b ON a.s = b.s AND a.ch <= b.ch GROUP BY ALL")
+@register("covariance", f"WITH x AS (SELECT * FROM {_LONG}) SELECT CAST(a.ch AS INT) AS i, CAST(b.ch AS INT) AS j, round(covar_pop(a.v, b.v), 7) AS c FROM x a JOIN x b ON a.s = b.s AND a.ch <= b.ch GROUP BY ALL")
 def covariance(spark: SparkSession, sf: str) -> DataFrame:
-    x = frames(spark, sf).withColumn("v", channels.crop(F.col("v"), 0, 12))
-    return stats.covariance(x, 12).select("i", "j", F.round("c", 7).alias("c"))
+    return stats.covariance(frames(spark, sf), 64).select("i", "j", F.round("c", 7).alias("c"))
 
 
 @register("template_moments", "WITH x AS (SELECT label, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS place, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) SELECT label, place, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, round(stddev_samp(x) / sqrt(count(*)), 6) AS se FROM x GROUP BY ALL")
@@ -373,17 +383,25 @@ def psth(spark: SparkSession, sf: str) -> DataFrame:
     return trains.psth(clicks, stimuli(spark, sf), _WINDOW, 2 * _WINDOW, 9, 1e6).select("unit", "bin", F.round("mean", 8).alias("mean"), F.round("se", 8).alias("se"))
 
 
-@register("triggered_average", f"WITH e AS (SELECT vec_id AS t FROM embeddings WHERE vec_id % 20 = 0), x AS (SELECT ch, e.t, s - e.t AS d, v FROM {_LONG} JOIN e ON s - e.t >= -3 AND s - e.t < 6 WHERE ch < 4), f AS (SELECT ch, t FROM x GROUP BY ALL HAVING count(*) = 9) SELECT ch, d AS \"offset\", count(*) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(stddev_samp(v) / sqrt(count(*)), 6) AS se FROM x JOIN f USING (ch, t) GROUP BY ALL")
+#: Rising crossings of each channel, which stand for events of the recording.
+_RISES = f"(SELECT ch, s AS t FROM (SELECT ch, s, v, lag(v) OVER (PARTITION BY ch ORDER BY s) AS p FROM {_LONG}) WHERE p < 0.2 AND v >= 0.2)"
+
+
+def _rises(spark: SparkSession, sf: str) -> DataFrame:
+    return events.crossings(channels.to_long(frames(spark, sf)), 0.2).select("ch", F.col("onset").alias("s"))
+
+
+@register("triggered_average", f"WITH e AS (SELECT t FROM {_RISES} WHERE ch = 0), x AS (SELECT ch, e.t, s - e.t AS d, v FROM {_LONG} JOIN e ON s - e.t >= -3 AND s - e.t < 6), f AS (SELECT ch, t FROM x GROUP BY ALL HAVING count(*) = 9) SELECT ch, d AS \"offset\", count(*) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(stddev_samp(v) / sqrt(count(*)), 6) AS se FROM x JOIN f USING (ch, t) GROUP BY ALL")
 def triggered_average(spark: SparkSession, sf: str) -> DataFrame:
-    x = channels.to_long(frames(spark, sf)).where("ch < 4")
-    at = frames(spark, sf).where("s % 20 = 0").select(F.col("s").alias("trial"), F.col("s").alias("t"))
-    return trains.triggered_average(x, at, 3, 6).select("ch", "offset", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "se")])
+    """All channels around the rises of channel 0, the trigger line."""
+    at = _rises(spark, sf).where("ch = 0").select(F.col("s").alias("trial"), F.col("s").alias("t"))
+    return trains.triggered_average(channels.to_long(frames(spark, sf)), at, 3, 6).select("ch", "offset", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "se")])
 
 
-@register("snippets", f"WITH e AS (SELECT vec_id AS t FROM embeddings WHERE vec_id % 25 = 7) SELECT CAST(1 AS BIGINT) AS unit, ch, e.t AS s, round(sum(v), 5) AS area, count(*) AS n FROM {_LONG} JOIN e ON s >= e.t - 5 AND s < e.t + 8 WHERE ch < 3 GROUP BY ALL HAVING count(*) = 13")
+@register("snippets", f"SELECT CAST(1 AS BIGINT) AS unit, x.ch, e.t AS s, round(sum(v), 5) AS area, count(*) AS n FROM {_LONG} x JOIN {_RISES} e ON x.ch = e.ch AND s >= e.t - 5 AND s < e.t + 8 GROUP BY ALL HAVING count(*) = 13")
 def snippets(spark: SparkSession, sf: str) -> DataFrame:
-    x = channels.to_long(frames(spark, sf)).where("ch < 3")
-    at = frames(spark, sf).where("s % 25 = 7").select(F.lit(1).cast("long").alias("unit"), F.explode(F.array(*[F.lit(c) for c in range(3)])).alias("ch"), "s")
+    x = channels.to_long(frames(spark, sf))
+    at = _rises(spark, sf).select(F.lit(1).cast("long").alias("unit"), "ch", "s")
     out = events.snippets(x, at, 5, 8)
     return out.select("unit", "ch", "s", F.round(channels.total(F.col("w")), 5).alias("area"), F.size("w").cast("long").alias("n"))
 
@@ -546,8 +564,13 @@ def drift(spark: SparkSession, sf: str) -> DataFrame:
 
 # window kernels, views, pipelines, curation
 
+def _samples(spark: SparkSession, sf: str) -> int:
+    """The length of the recording."""
+    return (frames(spark, sf).agg(F.max("s")).first()[0] or 0) + 1
+
+
 def _dense(spark: SparkSession, sf: str) -> DataFrame:
-    return channels.to_long(frames(spark, sf)).where("ch < 16")
+    return channels.to_long(frames(spark, sf))
 
 
 @register("iir_bandpass_zero_phase")
@@ -658,16 +681,16 @@ def matched_spikes(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "noise_levels",
-    f"WITH k AS (SELECT unnest([0, 1, 2]) AS k, unnest([0, 200, 400]) AS a), n AS (SELECT ch, k, list_sort(list(abs(v)))[CAST(count(*) // 2 + 1 AS BIGINT)] / {stats.NORMAL_QUARTILE}::DOUBLE AS sigma FROM {_LONG} JOIN k ON s >= a AND s < a + 100 GROUP BY ch, k) SELECT CAST(ch AS BIGINT) AS ch, round(quantile_cont(sigma, 0.5), 6) AS sigma FROM n GROUP BY ch",
+    f"WITH k AS (SELECT k, CAST(round_even(k * greatest(0, (SELECT max(vec_id) + 1 FROM embeddings) - 100) / 2.0, 0) AS BIGINT) AS a FROM range(3) t(k)), n AS (SELECT ch, k, list_sort(list(abs(v)))[CAST(count(*) // 2 + 1 AS BIGINT)] / {stats.NORMAL_QUARTILE}::DOUBLE AS sigma FROM {_LONG} JOIN k ON s >= a AND s < a + 100 GROUP BY ch, k) SELECT CAST(ch AS BIGINT) AS ch, round(quantile_cont(sigma, 0.5), 6) AS sigma FROM n GROUP BY ch",
 )
 def noise_levels(spark: SparkSession, sf: str) -> DataFrame:
-    return detection.noise_levels(_long(spark, sf), 100, 3, 500).select("ch", F.round("sigma", 6).alias("sigma"))
+    return detection.noise_levels(_long(spark, sf), 100, 3, _samples(spark, sf)).select("ch", F.round("sigma", 6).alias("sigma"))
 
 
 @register("detection_pipeline")
 def detection_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     sites = spark.range(64).select("id", F.floor(F.col("id") / 8).cast("double").alias("x"), (F.col("id") % 8).cast("double").alias("y"), F.lit(0.0).alias("z")).withColumnRenamed("id", "ch")
-    return detection.detect(_long(spark, sf), sites, 500, 1000.0, factor=2.0, radius=1.5, before=5, after=10, chunk_s=0.1)["templates"]
+    return detection.detect(_long(spark, sf), sites, _samples(spark, sf), 1000.0, factor=2.0, radius=1.5, before=5, after=10, chunk_s=0.1)["templates"]
 
 
 def _templates(spark: SparkSession, sf: str) -> DataFrame:
@@ -719,3 +742,39 @@ def fast_ica(spark: SparkSession, sf: str) -> DataFrame:
     p = labelled(spark, sf)
     w = clusters.fast_ica(p, 3)
     return points.project(p, np.zeros(w.shape[1]), w).select("id", "y")
+
+
+@register("crossings_falling", f"WITH x AS (SELECT *, lag(v) OVER {_ORDER} AS p FROM {_SIGNAL}) SELECT ch, s AS onset FROM x WHERE p > 20 AND v <= 20")
+def crossings_falling(spark: SparkSession, sf: str) -> DataFrame:
+    return events.crossings(signal(spark, sf), 20.0, direction="falling").select("ch", "onset")
+
+
+@register("as_of_lookup", f"SELECT c.unit, c.s, c.event_id, p.value FROM (SELECT * FROM {_TRAIN} WHERE kind = 'click') c ASOF LEFT JOIN (SELECT user_id AS unit, epoch_us(ts) - {EPOCH} AS s, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY ALL) p ON c.unit = p.unit AND c.s >= p.s")
+def as_of_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The user's last purchase at each click."""
+    e = _read(spark, sf, "events").select(F.col("user_id").alias("unit"), (F.unix_micros(F.col("ts").cast("timestamp")) - EPOCH).alias("s"), "event_id", "value", "event_type")
+    return trains.as_of(e.where("event_type = 'click'").select("unit", "s", "event_id"), e.where("event_type = 'purchase'").select("unit", "s", "value"), "value")
+
+
+@register("amplitude_histogram", "SELECT user_id AS unit, CAST(CASE WHEN value = 100 THEN 9 ELSE floor(value / 10) END AS INT) AS bin, count(*) AS n FROM events WHERE value BETWEEN 0 AND 100 GROUP BY ALL")
+def amplitude_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return trains.amplitude_histogram(_read(spark, sf, "events").select(F.col("user_id").alias("unit"), F.col("value").alias("amp")), 0.0, 100.0, 10)
+
+
+@register("remove_small_clusters", "SELECT vec_id AS id, label FROM embeddings WHERE label IN (SELECT label FROM embeddings GROUP BY label HAVING count(*) >= 50)")
+def remove_small_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return trains.without_small(labelled(spark, sf).select("id", "label"), 50).select("id", "label")
+
+
+@register("subset_stride", "SELECT user_id AS unit, event_id AS s FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) WHERE (r - 1) % 7 = 0")
+def subset_stride(spark: SparkSession, sf: str) -> DataFrame:
+    return trains.stride(signal(spark, sf).select(F.col("ch").alias("unit"), "s"), 7)
+
+
+@register(
+    "peak_lag",
+    "WITH c AS (SELECT CAST(l.lag AS INT) AS lag, sum(CAST(a.embedding[1] AS DOUBLE) * b.embedding[3]) AS r FROM embeddings a, (SELECT unnest(range(-5, 6)) AS lag) l, embeddings b WHERE b.vec_id = a.vec_id + l.lag GROUP BY 1), "
+    "n AS (SELECT *, lag(r) OVER (ORDER BY lag) AS a, lead(r) OVER (ORDER BY lag) AS b FROM c) SELECT lag, round(r, 5) AS r, round(coalesce(lag + (a - b) / (2 * (a - 2 * r + b)), lag), 4) AS exact FROM n ORDER BY n.r DESC, lag LIMIT 1",
+)
+def peak_lag(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.peak_lag(stats.cross_correlation(frames(spark, sf), 0, 2, 5)).select("lag", F.round("r", 5).alias("r"), F.round("exact", 4).alias("exact"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from sigtrellis.functions import design
-from sigtrellis.operators import blocks, channels, events
+from sigtrellis.operators import blocks, channels, events, waveforms
 from sigtrellis.plans import pipeline
 
 
@@ -129,6 +129,26 @@ def test_crossings_match_a_state_machine(spark, noise):
         assert got == brute_crossings(noise[0], 5.0, low, 0, 0)
 
 
+@pytest.mark.parametrize("shortest, wait", [(0, 2), (2, 0), (3, 7)])
+def test_refractory_crossings_match_a_state_machine(spark, noise, shortest, wait):
+    for x in (np.array([0, 6, 0, 6, 3, 6, 0, 0, 9.0]), noise[0]):
+        got = [(r.onset, r.offset, r.peak_sample, r.peak_value) for r in events.crossings(long(spark, x[None, :]), 5.0, 1.0, min_duration=shortest, refractory=wait).orderBy("onset").collect()]
+        assert got == brute_crossings(x, 5.0, 1.0, shortest, wait)
+    down = [(r.onset, r.offset, r.peak_sample, -r.peak_value) for r in events.crossings(long(spark, -noise[:1]), -5.0, -1.0, min_duration=shortest, refractory=wait, direction="falling").orderBy("onset").collect()]
+    assert down == brute_crossings(noise[0], 5.0, 1.0, shortest, wait)
+
+
+def test_gaps_keep_their_length(spark):
+    rows = spark.createDataFrame([(0, s, 1.0) for s in (0, 1, 2, 10, 11)], "ch int, s long, v double")
+    for block in (3, 100):
+        got = {r.s: r.v for r in blocks.run(rows, [blocks.fir([0.5, 0.5])], block).collect()}
+        assert got == {0: 0.5, 1: 1.0, 2: 1.0, 10: 0.5, 11: 1.0}
+
+
+def test_probe_places():
+    assert waveforms.presets("neuropixels2")[96] == (96, 250.0, 0.0) and len(waveforms.presets("utah")) == 96
+
+
 def test_channel_operators_refuse_bad_arguments():
     with pytest.raises(ValueError):
         channels.reorder(None, [1, 1])
