@@ -34,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigtrellis.llm.session import drop, table
@@ -42,6 +42,8 @@ from sigtrellis.llm.session import drop, table
 #: Words encoded in advance, at most; each is at most LONGEST_WORD characters.
 REMEMBERED = 300_000
 LONGEST_WORD = 40
+#: Texts that a worker cuts at a time.
+AT_ONCE = 256
 #: Words of more bytes are folded by replacements.
 LONG = 48
 #: Unicode white space, which the pattern's \s means.
@@ -252,50 +254,54 @@ def dictionary(docs: DataFrame, pattern: str, rank: Column, remembered: int = RE
     return found
 
 
-def cutter(spark: SparkSession, known: Known, rank_path: str, pattern: str):
-    """A Pandas UDF from text to runs of known ids, the distinct other words as ranks of their bytes, and the places of both.
+def cut(docs: DataFrame, known: Known, rank_path: str, pattern: str) -> DataFrame:
+    """doc_id with runs of known ids, the distinct other words as ranks of their bytes, and the places of both in the text.
 
-    A place is the number of a run, or -1 less the number of a word.
+    A place is the number of a run, or -1 less the number of a word. A worker holds ``AT_ONCE`` texts' pieces at a time.
     """
     byte = [int(x) for x in _tables(rank_path)[0].split(",")]
-    shared, small = spark.sparkContext.broadcast(known), bytes(byte) if max(byte) < 256 else None
-
-    @F.pandas_udf("struct<runs:array<string>,words:array<array<int>>,places:array<int>>")
-    def cut(texts: pd.Series) -> pd.DataFrame:
-        find, ids_of, out = regex.compile(spelled_out(pattern)).findall, shared.value.ids.get, []
-        for text in texts:
-            runs, run, words, places = [], [], {}, []
-            for word in find(text) if text else ():
-                ids = ids_of(word)
-                if ids is not None:
-                    run.append(ids)
-                    continue
-                if run:
-                    places.append(len(runs))
-                    runs.append(" ".join(run))
-                    run = []
-                places.append(-1 - words.setdefault(word, len(words)))
-            if run:
-                places.append(len(runs))
-                runs.append(" ".join(run))
-            encoded = map(str.encode, words)
-            out.append((runs, [list(w.translate(small)) for w in encoded] if small else [[byte[b] for b in w] for w in encoded], places))
-        return pd.DataFrame(out, columns=["runs", "words", "places"])
-
-    return cut
+    shared, small = docs.sparkSession.sparkContext.broadcast(known), bytes(byte) if max(byte) < 256 else None
+    names, kinds = ("runs", "words", "places"), (pa.list_(pa.string()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int32()))
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, ids_of = regex.compile(spelled_out(pattern)).findall, shared.value.ids.get
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part, columns = batch.slice(at, AT_ONCE), ([], [], [])
+                for text in part.column(1).to_pylist():
+                    runs, run, words, places = [], [], {}, []
+                    for word in find(text) if text else ():
+                        ids = ids_of(word)
+                        if ids is not None:
+                            run.append(ids)
+                            continue
+                        if run:
+                            places.append(len(runs))
+                            runs.append(" ".join(run))
+                            run = []
+                        places.append(-1 - words.setdefault(word, len(words)))
+                    if run:
+                        places.append(len(runs))
+                        runs.append(" ".join(run))
+                    encoded = map(str.encode, words)
+                    for column, value in zip(columns, (runs, [list(w.translate(small)) for w in encoded] if small else [[byte[b] for b in w] for w in encoded], places)):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=["doc_id", *names])
+
+    read = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return read.mapInArrow(pieces, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, runs array<string>, words array<array<int>>, places array<int>")
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id and ids: decimal ids with one space between, for each row."""
     rank = rank_map(rank_path)
     known = dictionary(docs, pattern, rank, remembered) if remembered else Known()
-    cut = docs.select("doc_id", cutter(docs.sparkSession, known, rank_path, pattern)(F.col("text").cast("string")).alias("cut"))
 
     def placed(folded: Column) -> Column:
-        return F.transform("cut.places", lambda i: F.when(i < 0, F.get(folded, -1 - i)).otherwise(F.get("cut.runs", i)))
+        return F.transform("places", lambda i: F.when(i < 0, F.get(folded, -1 - i)).otherwise(F.get("runs", i)))
 
-    folded = _let(rank, lambda r: F.transform("cut.words", lambda w: _joined(fold(w, r))))
-    return cut.select("doc_id", F.array_join(_let(folded, placed), " ").alias("ids"))
+    folded = _let(rank, lambda r: F.transform("words", lambda w: _joined(fold(w, r))))
+    return cut(docs, known, rank_path, pattern).select("doc_id", F.array_join(_let(folded, placed), " ").alias("ids"))
 
 
 def decode(ids: Column, rank_path: str) -> Column:
