@@ -70,7 +70,7 @@ class Lexicon(dict):
     character swaps or letters repeated three times and more. Remembers a bounded number of words.
     """
 
-    MOST = 500_000
+    MOST = 100_000
 
     def __init__(self, learned: dict[str, float]):
         super().__init__()
