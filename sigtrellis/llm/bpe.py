@@ -37,11 +37,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigtrellis.llm.session import drop, table
+from sigtrellis.llm.session import drop, short_batches, table
 
 #: Words encoded in advance, at most; each is at most LONGEST_WORD characters.
 REMEMBERED = 300_000
 LONGEST_WORD = 40
+#: Distinct words that a worker counts before it passes them on.
+COUNTED = 100_000
 #: Texts that a worker cuts at a time.
 AT_ONCE = 256
 #: Words of more bytes are folded by replacements.
@@ -204,14 +206,17 @@ def _joined(ids: Column) -> Column:
 
 
 def counts(docs: DataFrame, pattern: str) -> DataFrame:
-    """word and n, summed over each batch before they are shuffled."""
+    """word and n, summed by each worker, ``COUNTED`` words at a time, before they are shuffled."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = regex.compile(spelled_out(pattern)).findall
+        find, seen = regex.compile(spelled_out(pattern)).findall, Counter()
         for batch in batches:
-            seen: Counter = Counter()
             for text in batch["text"]:
                 seen.update(find(text))
+            if len(seen) > COUNTED:
+                yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+                seen.clear()
+        if seen:
             yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
 
     return docs.select(F.col("text").cast("string")).where(F.col("text") != "").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -294,6 +299,7 @@ def cut(docs: DataFrame, known: Known, rank_path: str, pattern: str) -> DataFram
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id and ids: decimal ids with one space between, for each row."""
+    short_batches(docs.sparkSession)
     rank = rank_map(rank_path)
     known = dictionary(docs, pattern, rank, remembered) if remembered else Known()
 

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtrellis.llm.session import checkpoint_dir
+from sigtrellis.llm.session import checkpoint_dir, short_batches
 
 WINDOW = 10
 MAX_WINDOWS = 400_000
@@ -156,6 +156,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     Any column of docs called ``leak`` is replaced.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     parts = _parts(benchmark, item_col, item_text_col, window, max_windows)
     out = docs.withColumn("leak", matcher(spark, next(parts, {}))(F.col(text_col).cast("string")))
     for part in parts:

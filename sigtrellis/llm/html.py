@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigtrellis.llm.session import short_batches
+
 #: Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -217,5 +219,6 @@ def extractor():
 
 def texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of each row."""
+    short_batches(pages.sparkSession)
     out = pages.select("page_id", "url", extractor()(F.col("html").cast("string")).alias("text"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -44,7 +44,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigtrellis.llm.session import drop, table
+from sigtrellis.llm.session import drop, short_batches, table
 
 K = 2
 MINIMA = 2
@@ -280,6 +280,7 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """The rows' nodes (doc_id, node, n, ...), and the class of every linked node (node, label)."""
+    short_batches(docs.sparkSession)
     rows = table(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_sketcher(least), _SCHEMA), "sketches")
     nodes = table(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
     placed = nodes.select("node", "n", F.explode("keys").alias("key"))

@@ -7,6 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of text that a Python worker gets at once.
+BATCH = 1_000
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that spark.checkpoint.dir names. Where it is unset and the master is local, so that there is one machine, one beside the warehouse."""
     context = spark.sparkContext
@@ -18,6 +22,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Lets 1,000 rows at most go to a Python worker at once, unless the session asks for fewer.
+
+    Texts are long: Spark's default of 10,000 rows holds tens of MB several times over in each worker.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts the lineage, and any executor may read it again."""
     path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

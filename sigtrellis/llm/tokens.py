@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigtrellis.llm.session import short_batches
+
 SPACE = "▁"
 LIMIT = 4096
 #: Distinct pre-tokens remembered by a worker, and the longest remembered.
@@ -82,5 +84,6 @@ def counter(model_path: str):
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of each row."""
+    short_batches(docs.sparkSession)
     n = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), counter(model_path)(F.col("text").cast("string")).alias("n_tokens"))
     return n.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigtrellis.llm import boosting
+from sigtrellis.llm.session import short_batches
 
 #: Labelled training rows used at most, and words the learned lexicon holds at most.
 SAMPLE = 12_000
@@ -70,7 +71,7 @@ class Lexicon(dict):
     character swaps or letters repeated three times and more. Remembers a bounded number of words.
     """
 
-    MOST = 100_000
+    MOST = 200_000
 
     def __init__(self, learned: dict[str, float]):
         super().__init__()
@@ -208,6 +209,7 @@ def scorer(model: Model):
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted (1 from 0.5) of each row."""
+    short_batches(docs.sparkSession)
     model = fit(docs, labels, sample)
     out = docs.select("doc_id", F.coalesce(is_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), scorer(model)(F.col("text").cast("string")).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
@@ -215,4 +217,5 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
 def keep(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The documents that aren't predicted toxic, with their columns as they were."""
+    short_batches(docs.sparkSession)
     return docs.where(scorer(fit(docs, labels, sample))(F.col("text").cast("string")) < 0.5)
