@@ -33,9 +33,18 @@ def short_batches(spark: SparkSession) -> None:
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage, and any executor may read it again."""
+    """df as a Parquet table in the shared folder: it cuts the lineage, and any executor may read it again.
+
+    The shuffle files that made it go as soon as it is written, for nothing reads them any more.
+    """
     path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf, clean = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(clean, "false")
+    conf.set(clean, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(clean, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.path = path
     return out
