@@ -20,7 +20,9 @@ yet. Buckets that then still hold several classes are mixed. The nodes of a mixe
 bucket of at most ``SMALL`` are compared with each other. Those of larger ones are
 joined by their rarest words instead: similar texts share four fifths of their words,
 so in any one order of words they share one of the first fifth, and nothing similar is
-lost (a prefix filter; the order is that of how common words are). Pairs and classes
+lost (a prefix filter; the order is that of how common words are). Such pairs are made
+only where the parities of their words' counts, in ``BITS`` cells, allow similarity: an
+edit changes two of them at most. Pairs and classes
 are tables in the shared folder at every step; what comes to the driver is their
 number and the ``CELLS`` counts that order the words.
 
@@ -58,6 +60,8 @@ SIMILARITY = 0.8
 SMALL = 48
 #: Counts that words are put in order by.
 CELLS = 1 << 18
+#: Bits of a text's parities.
+BITS = 1024
 _SPACES = bytes(b if 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _SEEDS = np.random.default_rng(5).integers(1, 2**63, size=SKETCHES + MINIMA + K, dtype=np.uint64) | np.uint64(1)
 _SCHEMA = "doc_id long, node binary, n int, keys array<long>"
@@ -220,6 +224,20 @@ def rare(ids: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
     return s[order[: _allowed(len(ids), least) + 1]].view(np.int64)
 
 
+def parities(ids: np.ndarray) -> np.ndarray:
+    """Whether the words of each of BITS cells are odd in number, as long integers. An edit changes two bits at most."""
+    odd = np.bincount((_mix(ids.astype(np.uint64)) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _paritied():
+    @F.pandas_udf("array<long>")
+    def bits(ids: pd.Series) -> pd.Series:
+        return pd.Series([parities(np.frombuffer(x, dtype=np.uint32)) for x in ids], dtype=object)
+
+    return bits
+
+
 def _rarest(common: np.ndarray, least: float):
     @F.pandas_udf("array<long>")
     def pick(ids: pd.Series) -> pd.Series:
@@ -265,11 +283,15 @@ def _verified(pairs: DataFrame, ids: DataFrame, least: float, name: str) -> Data
 
 
 def _pairs(rows: DataFrame, key: str, least: float) -> DataFrame:
-    """Pairs of rows (key, node, n, label, and buckets, of which they share one) of one key, but of two labels, whose lengths allow similarity."""
-    a, b = (rows.select(key, *[F.col(c).alias(f"{c}_{side}") for c in rows.columns if c in ("node", "n", "label", "buckets")]) for side in "ab")
+    """Pairs of rows (key, node, n, label, and buckets, of which they share one, and bits) of one key, but of two labels, whose lengths and bits allow similarity."""
+    a, b = (rows.select(key, *[F.col(c).alias(f"{c}_{side}") for c in rows.columns if c in ("node", "n", "label", "buckets", "bits")]) for side in "ab")
     fits = (F.col("label_a") != F.col("label_b")) & (F.col("node_a") < F.col("node_b")) & (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9)
     if "buckets" in rows.columns:
         fits = fits & F.arrays_overlap("buckets_a", "buckets_b")
+    if "bits" in rows.columns:
+        longer = F.greatest("n_a", "n_b")
+        differ = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+        fits = fits & (differ <= 2 * (longer - F.ceil(least * longer - 1e-9)))
     return a.join(b, key).where(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
@@ -319,12 +341,12 @@ def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
 
 
 def _by_rare_words(nodes: DataFrame, ids: DataFrame, least: float) -> DataFrame:
-    """Pairs of nodes (node, n, label, buckets) of two classes that share a bucket and one of their rarest words."""
+    """Pairs of nodes (node, n, label, buckets) of two classes that share a bucket and one of their rarest words, and have like parities."""
     nodes = table(nodes.join(ids, "node"), "large")
     counted = nodes.select("ids").mapInPandas(_counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # CELLS rows of two numbers at most
     common = np.zeros(CELLS, dtype=np.int64)
     common[counted["cell"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy(dtype=np.int64)
-    spread = table(nodes.select("node", "n", "label", "buckets", F.explode(_rarest(common, least)("ids")).alias("word")), "rare-words")
+    spread = table(nodes.select("node", "n", "label", "buckets", _paritied()("ids").alias("bits"), F.explode(_rarest(common, least)("ids")).alias("word")), "rare-words")
     drop(nodes)
     # words of one class alone, as its copies have, make no pair
     several = spread.groupBy("word").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("word")

@@ -261,6 +261,8 @@ def test_rare_words_miss_no_similar_pair():
         b[r.sample(range(n), n // 5)] = r.randint(1, 9)
         common[[r.randrange(omh.CELLS) for _ in range(50)]] += 1
         assert len(np.intersect1d(omh.rare(a, common, 0.8), omh.rare(b, common, 0.8))) or omh.similarity(a, b) < 0.8
+        differ = np.unpackbits((omh.parities(a) ^ omh.parities(b)).view(np.uint8)).sum()
+        assert differ <= 2 * omh._allowed(max(len(a), len(b)), 0.8) or omh.similarity(a, b) < 0.8
 
 
 def test_classes_are_those_of_all_pairs(spark):
