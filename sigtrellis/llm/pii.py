@@ -15,8 +15,12 @@ The network sees the bare value (digits without separators, the day, not its
 notation), so equal values stay linked in all documents whatever their writing.
 Text that fails validation stays as it is.
 
+A number that another one follows is found without it: four groups of four digits, or
+the first groups of an IBAN, are tried by themselves where the whole run isn't valid.
+
 Null text stays null with counts of 0; empty text stays empty. Repeated rows get
-the same pseudonyms.
+the same pseudonyms, and an empty table gives an empty result. Columns other than the
+text stay, except that one of the result's name is replaced.
 """
 
 from __future__ import annotations
@@ -30,13 +34,16 @@ FIRST_DAY, DAYS = "1800-01-01", (189, 773)
 #: What is looked for, the first that matches at a place wins. (?<!...) and (?!...) keep parts of longer numbers out.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{24,64}(?![A-Za-z0-9])",
+    # in one case; an IBAN of Andorra could be read as one, too
+    "secret": r"(?<![A-Za-z0-9])(?:(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{24,64}|(?!AD[0-9]{10}[0-9A-F]{12}(?![A-Za-z0-9]))(?=[0-9]*[A-F])(?=[A-F]*[0-9])[0-9A-F]{24,64})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9]|[./-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9]|-[0-9])",
+    # behind +1 and in brackets, any area code
+    "phone": r"(?<![0-9A-Za-z+])(?:\+1[ .-]?\([0-9]{3}\) ?[0-9]{3}|(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2})[ .-][0-9]{4}(?![0-9]|-[0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|[ -][0-9])",
+    # unbroken; by fours, with up to three digits more, which may be another number; in any other groups
+    "card": r"(?<![0-9])(?:[0-9]{13,19}(?![0-9])|(?:[0-9]{4}[ -]){3}[0-9]{4}(?:[ -][0-9]{1,3}(?![0-9]|[ ./-][0-9]))?(?![0-9])|[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|[ -][0-9]))",
 }
 _ANY = "|".join(PATTERNS.values())
 
@@ -103,7 +110,8 @@ def _alnum(text: Column, key: str, tweak: str, hexadecimal: bool = False) -> Col
     code = lambda c: F.ascii(c)
     if hexadecimal:
         value = F.transform(F.split(text, ""), lambda c: F.conv(c, 16, 10).cast("int"))
-        return F.array_join(F.transform(feistel(value, F.transform(value, lambda _: F.lit(16)), key, tweak), lambda v: F.lower(F.conv(v.cast("string"), 10, 16))), "")
+        new = F.array_join(F.transform(feistel(value, F.transform(value, lambda _: F.lit(16)), key, tweak), lambda v: F.conv(v.cast("string"), 10, 16)), "")
+        return F.when(F.rlike(text, F.lit("[A-F]")), F.upper(new)).otherwise(F.lower(new))
     base = lambda c: F.when(c.between("0", "9"), 48).when(c.between("a", "z"), 97).when(c.between("A", "Z"), 65)
     chars = F.split(text, "")
     value = F.transform(chars, lambda c: F.coalesce(code(c) - base(c), F.lit(0)))
@@ -113,14 +121,19 @@ def _alnum(text: Column, key: str, tweak: str, hexadecimal: bool = False) -> Col
 
 
 def _card(m: Column, key: str) -> Column:
-    bare = _digits(F.regexp_replace(m, "[^0-9]", ""))
+    """Four groups of four if they are a card, whatever follows them, otherwise the whole match."""
+    digits = lambda x: _digits(F.regexp_replace(x, "[^0-9]", ""))
+    valid = lambda d: luhn(F.slice(d, F.lit(1), F.size(d) - 1)) == F.element_at(d, -1)
+    runs = F.array(F.regexp_extract(m, "^(?:[0-9]{4}[ -]){3}[0-9]{4}(?=[ -])", 0), m)
+    card = F.get(F.filter(runs, lambda x: (x != "") & valid(digits(x))), 0)
 
-    def swap(d: Column) -> Column:
-        body = F.slice(d, F.lit(1), F.size(d) - 1)
-        new = lambda b: _let(feistel(b, F.transform(b, lambda _: F.lit(10)), key, "card"), lambda x: _refill(m, _join(F.concat(x, F.array(luhn(x)))), "[0-9]"))
-        return F.when(luhn(body) == F.element_at(d, -1), new(body))
+    def swap(x: Column) -> Column:
+        body = F.slice(digits(x), F.lit(1), F.size(digits(x)) - 1)
+        new = feistel(body, F.transform(body, lambda _: F.lit(10)), key, "card")
+        made = _let(new, lambda b: _refill(x, _join(F.concat(b, F.array(luhn(b)))), "[0-9]"))
+        return F.when(x.isNotNull(), F.concat(made, F.substr(m, F.length(x) + 1)))
 
-    return _let(bare, swap)
+    return _let(card, swap)
 
 
 def _mod97(text: Column) -> Column:
@@ -128,20 +141,34 @@ def _mod97(text: Column) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
-    bare = F.replace(m, F.lit(" "), F.lit(""))
-    valid = _mod97(F.concat(F.substr(bare, F.lit(5)), F.substr(bare, F.lit(1), F.lit(4)))) == 1
-    account = _alnum(F.substr(bare, F.lit(5)), key, "iban")
-    country = F.substr(bare, F.lit(1), F.lit(2))
-    made = _let(account, lambda a: F.concat(country, F.lpad((F.lit(98) - _mod97(F.concat(a, country, F.lit("00")))).cast("string"), 2, "0"), a))
-    return F.when(valid, _refill(m, made, "[0-9A-Z]"))
+    """The longest run of groups from the first that is valid; words or numbers behind it stay."""
+    groups = F.split(m, " ")
+    runs = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(groups, F.lit(1), n), " "))
+    bare = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+    valid = lambda b: (F.length(b) >= 12) & (_mod97(F.concat(F.substr(b, F.lit(5)), F.substr(b, F.lit(1), F.lit(4)))) == 1)
+    iban = F.get(F.filter(runs, lambda x: valid(bare(x))), 0)
+
+    def swap(x: Column) -> Column:
+        country = F.substr(x, F.lit(1), F.lit(2))
+        account = _alnum(F.substr(bare(x), F.lit(5)), key, "iban")
+        made = _let(account, lambda a: F.concat(country, F.lpad((F.lit(98) - _mod97(F.concat(a, country, F.lit("00")))).cast("string"), 2, "0"), a))
+        return F.when(x.isNotNull(), F.concat(_refill(x, made, "[0-9A-Z]"), F.substr(m, F.length(x) + 1)))
+
+    return _let(iban, swap)
 
 
 def _phone(m: Column, key: str) -> Column:
     bare = F.regexp_replace(m, "[^0-9]", "")
-    ten = F.transform(_digits(F.right(bare, F.lit(10))), lambda d, i: F.when(i.isin(0, 3), d - 2).otherwise(d))
-    radices = F.array(*[F.lit(8 if i in (0, 3) else 10) for i in range(10)])
-    new = F.transform(feistel(ten, radices, key, "phone"), lambda d, i: F.when(i.isin(0, 3), d + 2).otherwise(d))
-    return _refill(m, F.concat(F.when(F.length(bare) > 10, F.substr(bare, F.lit(1), F.length(bare) - 10)).otherwise(""), _join(new)), "[0-9]")
+    # area code and exchange start with 2-9; where they start with 0 or 1 they keep doing so
+    least = lambda d: F.when(d < 2, 0).otherwise(2)
+
+    def swap(ten: Column) -> Column:
+        start = F.transform(ten, lambda d, i: F.when(i.isin(0, 3), d - least(d)).otherwise(d))
+        radices = F.transform(ten, lambda d, i: F.when(i.isin(0, 3), F.when(d < 2, 2).otherwise(8)).otherwise(10))
+        return F.transform(feistel(start, radices, key, "phone"), lambda d, i: F.when(i.isin(0, 3), d + least(F.get(ten, i))).otherwise(d))
+
+    new = _join(_let(_digits(F.right(bare, F.lit(10))), swap))
+    return _refill(m, F.concat(F.when(F.length(bare) > 10, F.substr(bare, F.lit(1), F.length(bare) - 10)).otherwise(""), new), "[0-9]")
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -208,15 +235,16 @@ def pseudonym(m: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", out: str = "pii") -> DataFrame:
     """docs with one more column: struct of text (with pseudonyms) and found (array of kind, old, new)."""
     text = F.col(text_col).cast("string")
+    held, new = (next(n for n in (f"_{what}{i or ''}" for i in range(len(docs.columns) + 1)) if n not in docs.columns) for what in ("matches", "found"))
     matches = F.when(F.rlike(text, F.lit("[0-9@]")), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)))
-    packed = docs.withColumn("_matches", matches)
-    found = F.transform("_matches", lambda m: _let(pseudonym(m, key), lambda p: F.struct(p["kind"].alias("kind"), m.alias("old"), p["new"].alias("new"))))
-    packed = packed.withColumn("_found", F.when(F.size("_matches") > 0, found))
+    packed = docs.withColumn(held, matches)
+    found = F.transform(held, lambda m: _let(pseudonym(m, key), lambda p: F.struct(p["kind"].alias("kind"), m.alias("old"), p["new"].alias("new"))))
+    packed = packed.withColumn(new, F.when(F.size(held) > 0, found))
     gaps = F.split(text, _ANY, -1)
-    joined = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("_found", i)["new"], F.get("_found", i)["old"], F.lit("")))), "")
-    kept = F.filter(F.coalesce("_found", F.array().cast("array<struct<kind:string,old:string,new:string>>")), lambda x: x["kind"].isNotNull())
-    result = F.struct(F.when(F.col("_found").isNotNull(), joined).otherwise(text).alias("text"), kept.alias("found"))
-    return packed.withColumn(out, result).drop("_matches", "_found")
+    joined = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(new, i)["new"], F.get(new, i)["old"], F.lit("")))), "")
+    kept = F.filter(F.coalesce(new, F.array().cast("array<struct<kind:string,old:string,new:string>>")), lambda x: x["kind"].isNotNull())
+    result = F.struct(F.when(F.col(new).isNotNull(), joined).otherwise(text).alias("text"), kept.alias("found"))
+    return packed.withColumn(out, result).drop(held, new)
 
 
 def report(docs: DataFrame, key: str) -> DataFrame:

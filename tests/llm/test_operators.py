@@ -120,6 +120,42 @@ def test_feistel_is_a_permutation(spark):
     assert got.count() == 189 * 6
 
 
+def _luhn(digits):
+    return sum(v if i % 2 == 0 else v * 2 - 9 * (v > 4) for i, v in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+def test_numbers_side_by_side_are_found_apart(spark):
+    card, iban, hexa = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    texts = [
+        "a 4111111111111111 4111111111111111 b",
+        f"{card} 12/27",
+        f"{card} 123.",
+        f"{card} {card}",
+        f"{iban} THE 12",
+        f"{iban} CODE 1234",
+        "call +1 (017) 555-7713 or (217) 555-7713",
+        f"TOKEN = {hexa}! token = {hexa.lower()}!",
+        "1234 5678 9012 3456 78 stays",
+    ]
+    table = docs(spark, [*texts, texts[0]]).withColumn("_matches", F.lit(3)).withColumn("_found", F.lit("mine"))
+    rows = {r.doc_id: r for r in pii.pseudonymise(table, "k").collect()}
+    assert {(r._1, r._2) for r in spark.createDataFrame([(r["_matches"], r["_found"]) for r in rows.values()]).collect()} == {(3, "mine")}
+    out = {i: r.pii.text for i, r in rows.items()}
+    bare = out[0].split()[1]
+    assert bare != "4111111111111111" and _luhn(bare) and out[0] == f"a {bare} {bare} b" == out[9]
+    four = " ".join(bare[i : i + 4] for i in range(0, 16, 4))
+    assert [out[i] for i in (1, 2, 3)] == [f"{four} 12/27", f"{four} 123.", f"{four} {four}"]
+    other = out[4][: len(iban)]
+    assert other != iban and out[4] == f"{other} THE 12" and out[5] == f"{other} CODE 1234"
+    flat = other.replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+    assert re.fullmatch(r"call \+1 \([01]\d\d\) [2-9]\d\d-\d{4} or \([2-9]\d\d\) [2-9]\d\d-\d{4}", out[6]) and "555-7713" not in out[6]
+    upper = re.fullmatch(r"TOKEN = ([0-9A-F]{40})! token = ([0-9a-f]{40})!", out[7])
+    assert upper and upper[1].lower() == upper[2] != hexa.lower()
+    assert out[8] == texts[8]
+    assert pii.report(docs(spark, []), "k").count() == 0
+
+
 # 3 decontamination
 
 def brute_leaks(text, items):
