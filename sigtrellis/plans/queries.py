@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigtrellis.catalog import register
-from sigtrellis.functions import design, stats, trains
+from sigtrellis.functions import design, quality, stats, trains
 from sigtrellis.operators import blocks, channels, clusters, detection, events, points, temporal, waveforms
 from sigtrellis.plans import curation, pipeline, views
 
@@ -326,15 +326,57 @@ def contamination(spark: SparkSession, sf: str) -> DataFrame:
 _BIN, _HALF = HOUR, 12
 
 
-@register(
-    "autocorrelogram",
+_PAIRS = (
     f"WITH x AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY s) AS i FROM {_TRAIN}), p AS (SELECT a.unit, CAST(least(floor((b.s - a.s) / {_BIN}::DOUBLE + 0.5), {_HALF}) AS INT) AS lag FROM x a JOIN x b ON a.unit = b.unit AND a.i < b.i AND b.s - a.s < {int((_HALF + 0.5) * _BIN)}) "
-    "SELECT unit, lag, count(*) AS n FROM (SELECT unit, lag FROM p UNION ALL SELECT unit, -lag FROM p) GROUP BY ALL",
+    "SELECT unit, lag, count(*) AS n FROM (SELECT unit, lag FROM p UNION ALL SELECT unit, -lag FROM p) GROUP BY ALL"
 )
+
+
+@register("autocorrelogram", _PAIRS)
 def autocorrelogram(spark: SparkSession, sf: str) -> DataFrame:
     return trains.autocorrelogram(train(spark, sf), _BIN, _HALF)
 
 
+_SHOULDER = _HALF // 2
+
+
+@register(
+    "refractory_stats",
+    f"WITH c AS ({_PAIRS}), b AS (SELECT unit, greatest(coalesce(sum(n) FILTER (lag <= -{_SHOULDER}), 0), coalesce(sum(n) FILTER (lag >= {_SHOULDER}), 0)) / {_HALF - _SHOULDER + 1}::DOUBLE AS baseline FROM c GROUP BY unit), "
+    f"p AS (SELECT b.unit, baseline, k, 2 * k * baseline AS l, coalesce((SELECT sum(n) FROM c WHERE c.unit = b.unit AND abs(lag) BETWEEN 1 AND k), 0)::DOUBLE AS n FROM b, (SELECT unnest(range(1, {max(min(10, _HALF - 1), 1) + 1})) AS k)), "
+    "z AS (SELECT *, (n - l) / sqrt(1e-10 + 2 * l) AS z FROM p), t AS (SELECT *, 1 / (1 + abs(z) * 0.3275911) AS t FROM z), "
+    "q AS (SELECT *, 0.5 * (1 + sign(z) * (1 - ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-z * z))) AS p FROM t) "
+    "SELECT unit, round(baseline, 6) AS baseline, CASE WHEN baseline > 0 THEN round(min(n / l), 6) ELSE 'inf'::DOUBLE END AS ratio, CASE WHEN baseline > 0 THEN round(least(min(p), 1), 6) ELSE 1 END AS probability FROM q GROUP BY unit, baseline",
+)
+def refractory_stats(spark: SparkSession, sf: str) -> DataFrame:
+    got = quality.refractory_stats(autocorrelogram(spark, sf), _HALF, _SHOULDER)
+    return got.select("unit", *[F.round(c, 6).alias(c) for c in ("baseline", "ratio", "probability")])
+
+
+_CUT = 10
+
+
+def _cutoff_sql() -> str:
+    w = [float(np.exp(-0.5 * k * k / 4)) for k in range(9)]
+    w = [x / (w[0] + 2 * sum(w[1:])) for x in w]
+    return (
+        "WITH x AS (SELECT user_id AS unit, abs(value)::DOUBLE AS x FROM events WHERE value IS NOT NULL), r AS (SELECT unit, count(*) AS n, min(x) AS a, max(x) AS b FROM x GROUP BY unit), "
+        "e AS (SELECT unit, n, CASE WHEN a = b THEN a - 0.5 ELSE a END AS a, CASE WHEN a = b THEN b + 0.5 ELSE b END AS b FROM r), "
+        f"c AS (SELECT x.unit, len(list_filter(range(0, {_CUT}), lambda i: a + (b - a) * i / {_CUT} <= x)) - 1 AS bin, count(*) AS c FROM x JOIN e USING (unit) GROUP BY ALL), "
+        f"h AS (SELECT e.unit, e.n, list(coalesce(c, 0)::DOUBLE ORDER BY i) AS h FROM e CROSS JOIN (SELECT unnest(range(0, {_CUT})) AS i) LEFT JOIN c ON c.unit = e.unit AND c.bin = i GROUP BY ALL), "
+        f"p AS (SELECT unit, n, list_transform(range(0, {_CUT}), lambda k: floor(list_reduce(list_concat([h[k + 1] * {w[0]!r}::DOUBLE], list_transform(range(1, 9), lambda j: (h[least(k + j, {_CUT - 1}) + 1] + h[greatest(k - j, 0) + 1]) * ({w[1:]!r}::DOUBLE[])[j])), lambda s, v: s + v))) AS p FROM h), "
+        f"g AS (SELECT unit, n, p, list_max(list_filter(range(1, {_CUT + 1}), lambda k: p[k] >= p[1])) AS g FROM p), m AS (SELECT unit, n, coalesce(list_sum(p[g + 1:]), 0) AS missed FROM g) "
+        f"SELECT unit, CASE WHEN n / {_CUT}.0 < 1 THEN NULL ELSE round(least(missed / (n + missed), 0.5), 9) END AS cutoff FROM m"
+    )
+
+
+@register("amplitude_cutoff", _cutoff_sql())
+def amplitude_cutoff(spark: SparkSession, sf: str) -> DataFrame:
+    spikes = _read(spark, sf, "events").select(F.col("user_id").alias("unit"), F.col("value").alias("amp"))
+    got = quality.amplitude_cutoff(spikes, _CUT, 2.0, 1.0)
+    return got.select("unit", F.when(~F.isnan("cutoff"), F.round("cutoff", 9)).alias("cutoff"))
+
+
 _CBIN = 60_000_000
 
 
