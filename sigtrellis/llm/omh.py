@@ -14,17 +14,16 @@ leaves, is at most a fifth of the words of the longer one. Classes are the conne
 components of verified pairs.
 
 Equal word sequences are one node from the start, so copies never make pairs. In each
-bucket of a key every node is compared with the least node (linear in the bucket), for
+bucket of a key, without those nodes that none there is like in length, every node is compared with the least node (linear in the bucket), for
 an eighth of the keys first, then for all others where that node isn't in its class
-yet. Buckets that then still hold several classes are mixed. The nodes of a mixed
-bucket of at most ``SMALL`` are compared with each other. Those of larger ones are
-joined by their rarest words instead: similar texts share four fifths of their words,
-so in any one order of words they share one of the first fifth, and nothing similar is
-lost (a prefix filter; the order is that of how common words are). Such pairs are made
-only where the parities of their words' counts, in ``BITS`` cells, allow similarity: an
-edit changes two of them at most. Pairs and classes
-are tables in the shared folder at every step; what comes to the driver is their
-number and the ``CELLS`` counts that order the words.
+yet. Buckets that then still hold several classes are mixed. Their nodes are compared
+with each other in the order of their lengths, by the parities of their words' counts in
+several cells a word: an edit changes two parities at most, so that nothing similar is
+lost. Only the pairs that lengths and parities leave are made, each in the least of the
+buckets that both are in, and aligned. Larger buckets than ``SMALL`` are dealt in parts
+of about that many nodes, and any two parts meet in one task. Pairs and classes
+are tables in the shared folder at every step; nothing but whether one is empty comes
+to the driver.
 
 A text of one word has one k-mer, the whole text. Null texts and texts without a word
 are each alone in their class. Repeated rows share a class; a doc_id that has several
@@ -43,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigtrellis.llm.session import drop, short_batches, table
@@ -56,12 +55,12 @@ EXACT = 14
 #: Buckets of one in so many keys are compared first; members of a class that these find aren't compared again.
 FIRST = 8
 SIMILARITY = 0.8
-#: Mixed buckets of up to so many nodes are compared pair by pair, larger ones by rare words.
-SMALL = 48
+#: Nodes of a mixed bucket that one task compares with each other; of a larger bucket, it takes two parts of so many.
+SMALL = 4096
 #: Counts that words are put in order by.
 CELLS = 1 << 18
-#: Bits of a text's parities.
-BITS = 1024
+#: Bits of a text's parities: these at least, and BITS_A_WORD for each word up to MOST_BITS, as a power of two.
+BITS, BITS_A_WORD, MOST_BITS = 1024, 4, 1 << 17
 _SPACES = bytes(b if 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _SEEDS = np.random.default_rng(5).integers(1, 2**63, size=SKETCHES + MINIMA + K, dtype=np.uint64) | np.uint64(1)
 _SCHEMA = "doc_id long, node binary, n int, keys array<long>"
@@ -204,17 +203,8 @@ def _sketcher(least: float):
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [(wanted, numbers(w).tobytes()) for wanted, text in zip(batch["node"], batch["text"]) if node(w := words(text)) == bytes(wanted)]
-        yield pd.DataFrame(rows, columns=["node", "ids"])
-
-
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        n = np.zeros(CELLS, dtype=np.int64)
-        for x in batch["ids"]:
-            n += np.bincount((kmers(np.frombuffer(x, dtype=np.uint32), 1) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-        cell = np.flatnonzero(n)
-        yield pd.DataFrame({"cell": cell.astype(np.int32), "n": n[cell]})
+        read = ((wanted, numbers(w)) for wanted, text in zip(batch["node"], batch["text"]) if node(w := words(text)) == bytes(wanted))
+        yield pd.DataFrame([(wanted, ids.tobytes(), parities(ids).tobytes()) for wanted, ids in read], columns=["node", "ids", "bits"])
 
 
 def rare(ids: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
@@ -225,25 +215,74 @@ def rare(ids: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
 
 
 def parities(ids: np.ndarray) -> np.ndarray:
-    """Whether the words of each of BITS cells are odd in number, as long integers. An edit changes two bits at most."""
-    odd = np.bincount((_mix(ids.astype(np.uint64)) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    """Whether the words of each cell are odd in number, as long integers. An edit changes two bits at most.
 
+    Words are labelled with their occurrence, so that even counts of a repeated word tell too.
+    """
+    bits = min(max(BITS, 1 << (BITS_A_WORD * len(ids) - 1).bit_length()), MOST_BITS)
+    odd = np.bincount((kmers(ids, 1) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
-def _paritied():
-    @F.pandas_udf("array<long>")
-    def bits(ids: pd.Series) -> pd.Series:
-        return pd.Series([parities(np.frombuffer(x, dtype=np.uint32)) for x in ids], dtype=object)
 
-    return bits
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The parities in fewer cells: ``size`` long integers, a power of two."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
 
 
-def _rarest(common: np.ndarray, least: float):
-    @F.pandas_udf("array<long>")
-    def pick(ids: pd.Series) -> pd.Series:
-        return pd.Series([rare(np.frombuffer(x, dtype=np.uint32), common, least) for x in ids], dtype=object)
+def alike(rows: pd.DataFrame, least: float) -> Iterator[tuple[bytes, bytes]]:
+    """The pairs of two labels in one group whose lengths and parities allow similarity, where the group's key is the least that both have.
 
-    return pick
+    Only a replacement changes two parities, so that a difference of lengths counts once more. Rows are key, low, high, part, node, n, label, bits and buckets, whole groups (key, low, high) one after
+    another, by n. Groups of two parts (low and high) pair nodes of different ones.
+    """
+    group = np.cumsum(np.any([np.diff(rows[c].to_numpy(), prepend=0) != 0 for c in ("key", "low", "high")], axis=0))
+    key, n, part, whole = rows["key"].to_numpy(), rows["n"].to_numpy(), rows["part"].to_numpy(), (rows["low"] == rows["high"]).to_numpy()
+    label, nodes, buckets = pd.factorize(rows["label"])[0], rows["node"].tolist(), [set(x) for x in rows["buckets"]]
+    most = 2 * (n - np.ceil(least * n - 1e-9))
+    bits = [np.frombuffer(x, dtype=np.uint64) for x in rows["bits"]]
+    size = np.fromiter(map(len, bits), dtype=np.int64, count=len(bits))
+    levels = []
+    for width in np.unique(np.append(size, BITS // 64)):
+        has = np.flatnonzero(size >= width)
+        place = np.zeros(len(rows), dtype=np.int64)
+        place[has] = np.arange(len(has))
+        levels.append((width, place, np.stack([folded(bits[i], width) for i in has])))
+    at, step = np.arange(len(rows)), 0
+    while len(at):
+        step += 1
+        at = at[at + step < len(rows)]
+        # by n: where one is too long, so are all behind it
+        at = at[(group[at] == group[at + step]) & (n[at] >= least * n[at + step] - 1e-9)]
+        a = at[(label[at] != label[at + step]) & (whole[at] | (part[at] != part[at + step]))]
+        for width, place, of in levels:
+            # the coarsest parities of all, then the finest that both have
+            told = np.ones(len(a), dtype=bool) if width == BITS // 64 else np.minimum(size[a], size[a + step]) == width
+            x = a[told]
+            fits = ~told
+            fits[told] = np.bitwise_count(of[place[x]] ^ of[place[x + step]]).sum(axis=1, dtype=np.int64) <= most[x + step] - (n[x + step] - n[x])
+            a = a[fits]
+        for i in a.tolist():
+            if min(buckets[i] & buckets[i + step]) == key[i]:
+                yield (nodes[i], nodes[i + step]) if nodes[i] < nodes[i + step] else (nodes[i + step], nodes[i])
+
+
+def _alike(least: float):
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            rows = batch if held is None else held if batch is None else pd.concat((held, batch), ignore_index=True)
+            if rows is None or not len(rows):
+                continue
+            end = len(rows)
+            if batch is not None:  # the last group may go on
+                last = rows.iloc[-1]
+                end = int(((rows["key"] == last["key"]) & (rows["low"] == last["low"]) & (rows["high"] == last["high"])).to_numpy().argmax())
+            found = alike(rows[:end], least) if end else iter(())
+            while some := list(itertools.islice(found, 10_000)):
+                yield pd.DataFrame(some, columns=["a", "b"])
+            held = rows[end:].reset_index(drop=True)
+
+    return pairs
 
 
 def verifier(least: float):
@@ -282,19 +321,6 @@ def _verified(pairs: DataFrame, ids: DataFrame, least: float, name: str) -> Data
     return found
 
 
-def _pairs(rows: DataFrame, key: str, least: float) -> DataFrame:
-    """Pairs of rows (key, node, n, label, and buckets, of which they share one, and bits) of one key, but of two labels, whose lengths and bits allow similarity."""
-    a, b = (rows.select(key, *[F.col(c).alias(f"{c}_{side}") for c in rows.columns if c in ("node", "n", "label", "buckets", "bits")]) for side in "ab")
-    fits = (F.col("label_a") != F.col("label_b")) & (F.col("node_a") < F.col("node_b")) & (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9)
-    if "buckets" in rows.columns:
-        fits = fits & F.arrays_overlap("buckets_a", "buckets_b")
-    if "bits" in rows.columns:
-        longer = F.greatest("n_a", "n_b")
-        differ = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
-        fits = fits & (differ <= 2 * (longer - F.ceil(least * longer - 1e-9)))
-    return a.join(b, key).where(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-
-
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """rows with the label of their node; a node without links is its own class."""
     return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -306,12 +332,11 @@ def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
     rows = table(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_sketcher(least), _SCHEMA), "sketches")
     nodes = table(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
     placed = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = placed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    shared = table(shared.select("key", F.col("least.node").alias("leader"), F.col("least.n").alias("leader_n")), "shared")
-    buckets = table(placed.join(shared, "key"), "buckets")
+    several = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1).select("key")
+    buckets = _buckets(placed.join(several, "key"), least)
     needed = buckets.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).join(needed, "doc_id").select("node", "text")
-    ids = table(texts.mapInPandas(_read, "node binary, ids binary").dropDuplicates(["node"]), "texts")
+    ids = _once(table(texts.mapInPandas(_read, "node binary, ids binary, bits binary"), "texts"))
     drop(nodes)
     # texts of lengths that rule similarity out never meet their leader
     fits = F.least("n", "leader_n") >= least * F.greatest("n", "leader_n") - 1e-9
@@ -320,7 +345,7 @@ def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
     edges = _verified(first.select(F.col("leader").alias("a"), F.col("node").alias("b")), ids, least, "stars")
     labels = components(edges, "first")
     # all other leaders, against those that aren't in their class yet; a node leads only as many buckets as it has keys
-    leading = shared.select("key", F.col("leader").alias("node")).join(labels, "node").select("key", F.col("label").alias("leading"))
+    leading = buckets.where(F.col("node") == F.col("leader")).select("key", "node").join(labels, "node").select("key", F.col("label").alias("leading"))
     apart = _labelled(followers, labels).join(leading, "key", "left").where(F.col("label") != F.coalesce("leading", "leader"))
     more = _verified(apart.select(F.col("leader").alias("a"), F.col("node").alias("b")), ids, least, "more-stars")
     if not more.isEmpty():
@@ -329,28 +354,40 @@ def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
     # what is left of a bucket of several classes, but its leader, which all were compared with
     named = table(_labelled(buckets, labels), "labelled")
     mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where(F.col("low") != F.col("high"))
-    mixed = table(named.where(F.col("node") != F.col("leader")).join(mixed.select("key", "size"), "key"), "mixed")
-    small = _pairs(mixed.where(F.col("size") <= SMALL), "key", least)
-    large = mixed.where(F.col("size") > SMALL).groupBy("node", "n", "label").agg(F.collect_set("key").alias("buckets"))  # as many as a node has keys
-    pairs = small.unionByName(_by_rare_words(large, ids, least))
-    last = _verified(pairs, ids, least, "mixed-pairs")
+    mixed = table(named.where(F.col("node") != F.col("leader")).join(mixed.select("key", "size"), "key").select("key", "size", "node", "n", "label"), "mixed")
+    last = _verified(_mixed_pairs(mixed, ids, least), ids, least, "mixed-pairs")
     if not last.isEmpty():
         labels = components(edges.unionByName(last), "third")
-    drop(shared, buckets, ids, named, mixed, last)
+    drop(buckets, ids, named, mixed, last)
     return rows, labels
 
 
-def _by_rare_words(nodes: DataFrame, ids: DataFrame, least: float) -> DataFrame:
-    """Pairs of nodes (node, n, label, buckets) of two classes that share a bucket and one of their rarest words, and have like parities."""
-    nodes = table(nodes.join(ids, "node"), "large")
-    counted = nodes.select("ids").mapInPandas(_counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # CELLS rows of two numbers at most
-    common = np.zeros(CELLS, dtype=np.int64)
-    common[counted["cell"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy(dtype=np.int64)
-    spread = table(nodes.select("node", "n", "label", "buckets", _paritied()("ids").alias("bits"), F.explode(_rarest(common, least)("ids")).alias("word")), "rare-words")
-    drop(nodes)
-    # words of one class alone, as its copies have, make no pair
-    several = spread.groupBy("word").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("word")
-    return _pairs(table(spread.join(several, "word"), "shared-rare-words"), "word", least)
+def _buckets(placed: DataFrame, least: float) -> DataFrame:
+    """Rows (node, n, key) with their key's least node and its n, but only those with another of a like length: in the order of lengths, that is one beside it."""
+    by = Window.partitionBy("key")
+    beside = placed.select("*", F.lag("n").over(by.orderBy("n")).alias("before"), F.lead("n").over(by.orderBy("n")).alias("behind"))
+    fits = (F.col("before") >= least * F.col("n") - 1e-9) | (F.col("n") >= least * F.col("behind") - 1e-9)
+    led = beside.where(fits).select("key", "node", "n", F.min(F.struct("node", "n")).over(by).alias("least"))
+    return table(led.select("key", "node", "n", F.col("least.node").alias("leader"), F.col("least.n").alias("leader_n")), "buckets")
+
+
+def _once(texts: DataFrame) -> DataFrame:
+    """Each node once. Only repeated rows of one doc_id repeat a node, so that few tables have to be dealt and written again."""
+    if texts.groupBy("node").count().where(F.col("count") > 1).isEmpty():
+        return texts
+    once = table(texts.dropDuplicates(["node"]), "texts-once")
+    drop(texts)
+    return once
+
+
+def _mixed_pairs(mixed: DataFrame, ids: DataFrame, least: float) -> DataFrame:
+    """Pairs of nodes of two classes in one bucket (key, size, node, n, label) whose lengths and parities allow similarity, each once."""
+    held = mixed.groupBy("node").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.collect_list(F.struct("key", "size")).alias("held"))  # as many as a node has keys
+    each = held.join(ids.select("node", "bits"), "node").select("node", "n", "label", "bits", F.col("held.key").alias("buckets"), F.explode("held").alias("own"))
+    parts = F.ceil(F.col("own.size") / SMALL)
+    dealt = each.select("node", "n", "label", "bits", "buckets", F.col("own.key").alias("key"), F.pmod(F.xxhash64("node"), parts).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "n", "label", "bits", "buckets")
+    return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "n").mapInPandas(_alike(least), "a binary, b binary")
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

@@ -301,6 +301,46 @@ def test_rare_words_miss_no_similar_pair():
         assert differ <= 2 * omh._allowed(max(len(a), len(b)), 0.8) or omh.similarity(a, b) < 0.8
 
 
+def test_pairs_of_a_bucket_are_aligned_only_where_their_words_allow(spark, monkeypatch):
+    # buckets of a class, and of texts that share 73 % of their words with it, which is just too few
+    monkeypatch.setattr(omh, "SMALL", 4)
+    monkeypatch.setattr(omh, "keys_of", lambda ids, least: np.arange(3))  # three such buckets
+    made, verified = [], omh._verified
+    monkeypatch.setattr(omh, "_verified", lambda pairs, ids, least, name: made.append((name, pairs.count(), pairs.distinct().count())) or verified(pairs, ids, least, name))
+    r, texts = random.Random(12), []
+    for k, changes in [(k, 8) for k in range(15)] + [(k, 216) for k in range(15, 30)]:
+        w = [f"w{i}" for i in range(800)]
+        for i in r.sample(range(800), changes):
+            w[i] = f"new{k}x{i}"
+        texts.append(" ".join(w))
+    got = {x.doc_id: x.class_id for x in omh.classes(docs(spark, texts)).collect()}
+    assert all(got[k] == (0 if k < 15 else k) for k in range(30))
+    assert all(n == once for name, n, once in made if name == "mixed-pairs") and dict(x[:2] for x in made)["mixed-pairs"] <= 15 * 14 // 2 + 5, made
+
+
+def test_parities_and_buckets_lose_no_similar_pair(monkeypatch):
+    r, rows = random.Random(13), []
+    for k in range(40):
+        n = r.choice((30, 240, 260, 520, 1100))
+        a, b = similar_pair(r, n, n // 5)
+        for x in (a, b, a[: n - n // 6]):
+            for key in (keys := sorted(r.sample(range(6), 2) + [6])):
+                rows.append((key, 0, 0, 0, b"%d" % len(rows), len(x), b"%d" % len(rows), omh.parities(x).tobytes(), keys, x))
+    names = ["key", "low", "high", "part", "node", "n", "label", "bits", "buckets", "x"]
+    frame = omh.pd.DataFrame([(*row[:4], b"t%04d" % (k // 3), row[5], b"t%04d" % (k // 3), *row[7:]) for k, row in enumerate(rows)], columns=names)
+    text = dict(zip(frame["node"], frame["x"]))
+    held = dict(zip(frame["node"], map(set, frame["buckets"])))
+    want = {(a, b) for a in text for b in text if a < b and held[a] & held[b] and omh.similarity(text[a], text[b]) >= 0.8}
+    frame = frame.sort_values(["key", "low", "high", "n"], ignore_index=True)
+    got = list(omh.alike(frame, 0.8))
+    assert len(want) >= 80 and want <= set(got) and len(got) == len(set(got)) < 2 * len(want)
+    batches = (frame[i : i + 7].reset_index(drop=True) for i in range(0, len(frame), 7))
+    assert sorted(tuple(x) for out in omh._alike(0.8)(batches) for x in out.itertuples(index=False)) == sorted(got)
+    one, many = similar_pair(r, 900, 0)[0], omh.parities(np.arange(900, dtype=np.uint32))
+    monkeypatch.setattr(omh, "MOST_BITS", 1024)
+    assert (omh.folded(many, 16) == omh.parities(np.arange(900, dtype=np.uint32))).all() and len(omh.parities(one)) == 16
+
+
 def test_classes_are_those_of_all_pairs(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(x.doc_id, omh.numbers(omh.words(x.text))) for x in d.collect()]
