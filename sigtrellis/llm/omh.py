@@ -34,6 +34,7 @@ Columns other than doc_id and text are neither read nor changed, whatever their
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import math
@@ -57,6 +58,8 @@ FIRST = 8
 SIMILARITY = 0.8
 #: Nodes of a mixed bucket that one task compares with each other; of a larger bucket, it takes two parts of so many.
 SMALL = 4096
+#: The documents are dealt in so many turns when their words are read, so that only a part of all texts is in shuffle files at a time.
+TURNS = 2
 #: Counts that words are put in order by.
 CELLS = 1 << 18
 #: Bits of a text's parities: these at least, and BITS_A_WORD for each word up to MOST_BITS, as a power of two.
@@ -329,15 +332,18 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """The rows' nodes (doc_id, node, n, ...), and the class of every linked node (node, label)."""
     short_batches(docs.sparkSession)
-    rows = table(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_sketcher(least), _SCHEMA), "sketches")
-    nodes = table(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    sketches = table(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_sketcher(least), _SCHEMA), "sketches")
+    nodes = table(sketches.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    rows = table(sketches.select("doc_id", "node", "n"), "rows")
+    drop(sketches)
     placed = nodes.select("node", "n", F.explode("keys").alias("key"))
     several = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1).select("key")
     buckets = _buckets(placed.join(several, "key"), least)
-    needed = buckets.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).join(needed, "doc_id").select("node", "text")
-    ids = _once(table(texts.mapInPandas(_read, "node binary, ids binary, bits binary"), "texts"))
+    needed = table(buckets.select("node").distinct().join(nodes.select("node", "doc_id"), "node"), "needed")
     drop(nodes)
+    texts = [_texts(docs, needed, turn) for turn in range(TURNS)]
+    ids = functools.reduce(DataFrame.unionByName, texts)
+    drop(needed)
     # texts of lengths that rule similarity out never meet their leader
     fits = F.least("n", "leader_n") >= least * F.greatest("n", "leader_n") - 1e-9
     followers = buckets.where((F.col("node") != F.col("leader")) & fits)
@@ -358,7 +364,7 @@ def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
     last = _verified(_mixed_pairs(mixed, ids, least), ids, least, "mixed-pairs")
     if not last.isEmpty():
         labels = components(edges.unionByName(last), "third")
-    drop(buckets, ids, named, mixed, last)
+    drop(buckets, *texts, named, mixed, last)
     return rows, labels
 
 
@@ -371,6 +377,13 @@ def _buckets(placed: DataFrame, least: float) -> DataFrame:
     return table(led.select("key", "node", "n", F.col("least.node").alias("leader"), F.col("least.n").alias("leader_n")), "buckets")
 
 
+def _texts(docs: DataFrame, needed: DataFrame, turn: int) -> DataFrame:
+    """node, ids and bits of the needed (node, doc_id) of one turn, as a table."""
+    now = F.pmod(F.xxhash64("doc_id"), F.lit(TURNS)) == turn
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).where(now).join(needed.where(now), "doc_id")
+    return _once(table(read.select("node", "text").mapInPandas(_read, "node binary, ids binary, bits binary"), f"texts-{turn}"))
+
+
 def _once(texts: DataFrame) -> DataFrame:
     """Each node once. Only repeated rows of one doc_id repeat a node, so that few tables have to be dealt and written again."""
     if texts.groupBy("node").count().where(F.col("count") > 1).isEmpty():

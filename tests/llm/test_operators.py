@@ -341,6 +341,22 @@ def test_parities_and_buckets_lose_no_similar_pair(monkeypatch):
     assert (omh.folded(many, 16) == omh.parities(np.arange(900, dtype=np.uint32))).all() and len(omh.parities(one)) == 16
 
 
+def test_texts_are_read_in_turns_and_once(spark, monkeypatch):
+    made, write = {}, omh.table
+
+    def counted(df, name):
+        out = write(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(omh, "table", counted)
+    base = prose(14, 80)
+    d = docs(spark, [f"{base} new{k}" for k in range(60)])
+    assert {x.class_id for x in omh.classes(d.unionByName(d)).collect()} == {0}
+    read = [n for name, n in made.items() if name.startswith("texts-") and name != "texts-once"]
+    assert sum(read) == 120 and max(read) < 90, made
+
+
 def test_classes_are_those_of_all_pairs(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(x.doc_id, omh.numbers(omh.words(x.text))) for x in d.collect()]
