@@ -46,7 +46,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigtrellis.llm.session import drop, short_batches, table
+from sigtrellis.llm.session import drop, parts, short_batches, table
 
 K = 2
 MINIMA = 2
@@ -296,19 +296,19 @@ def verifier(least: float):
     return verify
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
+def components(edges: DataFrame, name: str, most: int) -> DataFrame:
     """node and label (the least node of its component) for every node of edges(a, b).
 
     Labels spread to neighbours and then jump to the label of their label, so the
-    rounds grow with the logarithm of the longest path. Each round is a table.
+    rounds grow with the logarithm of the longest path. Each round is a table, of ``most`` parts at most.
     """
-    both = table(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))), f"{name}-edges")
-    labels = table(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), f"{name}-0")
+    both = table(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))).coalesce(most), f"{name}-edges")
+    labels = table(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")).coalesce(most), f"{name}-0")
     for turn in itertools.count(1):
         seen = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
         near = labels.join(seen, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = near.join(labels.select(F.col("node").alias("label"), F.col("label").alias("far")), "label", "left")
-        fresh = table(jump.select("node", "was", F.coalesce(F.least("label", "far"), F.col("label")).alias("label")), f"{name}-{turn}")
+        fresh = table(jump.select("node", "was", F.coalesce(F.least("label", "far"), F.col("label")).alias("label")).coalesce(most), f"{name}-{turn}")
         drop(labels)
         labels = fresh
         if fresh.where(F.col("was") != F.col("label")).isEmpty():
@@ -333,13 +333,14 @@ def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
     """The rows' nodes (doc_id, node, n, ...), and the class of every linked node (node, label)."""
     short_batches(docs.sparkSession)
     sketches = table(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_sketcher(least), _SCHEMA), "sketches")
-    nodes = table(sketches.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
-    rows = table(sketches.select("doc_id", "node", "n"), "rows")
+    few = parts(sketches)
+    nodes = table(sketches.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")).coalesce(few), "nodes")
+    rows = table(sketches.select("doc_id", "node", "n").coalesce(few), "rows")
     drop(sketches)
     placed = nodes.select("node", "n", F.explode("keys").alias("key"))
     several = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1).select("key")
-    buckets = _buckets(placed.join(several, "key"), least)
-    needed = table(buckets.select("node").distinct().join(nodes.select("node", "doc_id"), "node"), "needed")
+    buckets = _buckets(placed.join(several, "key"), least, few)
+    needed = table(buckets.select("node").distinct().join(nodes.select("node", "doc_id"), "node").coalesce(few), "needed")
     drop(nodes)
     texts = [_texts(docs, needed, turn) for turn in range(TURNS)]
     ids = functools.reduce(DataFrame.unionByName, texts)
@@ -349,32 +350,35 @@ def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
     followers = buckets.where((F.col("node") != F.col("leader")) & fits)
     first = followers.where(F.pmod("key", F.lit(FIRST)) == 0)
     edges = _verified(first.select(F.col("leader").alias("a"), F.col("node").alias("b")), ids, least, "stars")
-    labels = components(edges, "first")
+    labels = components(edges, "first", parts(edges))
     # all other leaders, against those that aren't in their class yet; a node leads only as many buckets as it has keys
     leading = buckets.where(F.col("node") == F.col("leader")).select("key", "node").join(labels, "node").select("key", F.col("label").alias("leading"))
     apart = _labelled(followers, labels).join(leading, "key", "left").where(F.col("label") != F.coalesce("leading", "leader"))
     more = _verified(apart.select(F.col("leader").alias("a"), F.col("node").alias("b")), ids, least, "more-stars")
+    found = [edges]
     if not more.isEmpty():
-        edges = edges.unionByName(more)
-        labels = components(edges, "second")
+        found.append(more)
+        labels = components(functools.reduce(DataFrame.unionByName, found), "second", parts(*found))
     # what is left of a bucket of several classes, but its leader, which all were compared with
-    named = table(_labelled(buckets, labels), "labelled")
+    few = parts(buckets)
+    named = table(_labelled(buckets, labels).coalesce(few), "labelled")
     mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where(F.col("low") != F.col("high"))
-    mixed = table(named.where(F.col("node") != F.col("leader")).join(mixed.select("key", "size"), "key").select("key", "size", "node", "n", "label"), "mixed")
+    mixed = table(named.where(F.col("node") != F.col("leader")).join(mixed.select("key", "size"), "key").select("key", "size", "node", "n", "label").coalesce(few), "mixed")
     last = _verified(_mixed_pairs(mixed, ids, least), ids, least, "mixed-pairs")
     if not last.isEmpty():
-        labels = components(edges.unionByName(last), "third")
+        found.append(last)
+        labels = components(functools.reduce(DataFrame.unionByName, found), "third", parts(*found))
     drop(buckets, *texts, named, mixed, last)
     return rows, labels
 
 
-def _buckets(placed: DataFrame, least: float) -> DataFrame:
+def _buckets(placed: DataFrame, least: float, most: int) -> DataFrame:
     """Rows (node, n, key) with their key's least node and its n, but only those with another of a like length: in the order of lengths, that is one beside it."""
     by = Window.partitionBy("key")
     beside = placed.select("*", F.lag("n").over(by.orderBy("n")).alias("before"), F.lead("n").over(by.orderBy("n")).alias("behind"))
     fits = (F.col("before") >= least * F.col("n") - 1e-9) | (F.col("n") >= least * F.col("behind") - 1e-9)
     led = beside.where(fits).select("key", "node", "n", F.min(F.struct("node", "n")).over(by).alias("least"))
-    return table(led.select("key", "node", "n", F.col("least.node").alias("leader"), F.col("least.n").alias("leader_n")), "buckets")
+    return table(led.select("key", "node", "n", F.col("least.node").alias("leader"), F.col("least.n").alias("leader_n")).coalesce(most), "buckets")
 
 
 def _texts(docs: DataFrame, needed: DataFrame, turn: int) -> DataFrame:
@@ -407,7 +411,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id and class_id (the least doc_id of its class) for each row."""
     rows, labels = links(docs, least)
     named = rows.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
-    least_id = table(named.groupBy("label").agg(F.min("doc_id").alias("class_id")), "class-ids")
+    least_id = table(named.groupBy("label").agg(F.min("doc_id").alias("class_id")).coalesce(parts(rows)), "class-ids")
     own = named.join(least_id, "label").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     return every.join(own, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of text that a Python worker gets at once.
 BATCH = 1_000
+#: Bytes, as stored, for each part of a table that is known to be small.
+PART = 1 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -32,6 +34,19 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH))
 
 
+def parts(*tables: DataFrame) -> int:
+    """Parts that are enough for a table about as large as these, which ``table`` wrote: one for each core at least, and one for each ``PART`` bytes.
+
+    Without Hadoop's native library, an executor starts several processes for each file that it writes to a local
+    path, to set permissions; until such a process runs chmod, its memory is that of the executor and counts twice.
+    """
+    size = 0
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.path)
+        size += path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return max(tables[0].sparkSession.sparkContext.defaultParallelism, -(-size // PART))
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts the lineage, and any executor may read it again.
 

@@ -357,6 +357,31 @@ def test_texts_are_read_in_turns_and_once(spark, monkeypatch):
     assert sum(read) == 120 and max(read) < 90, made
 
 
+def test_small_tables_have_few_files_whatever_the_partitions(spark, monkeypatch):
+    files, write = {}, omh.table
+
+    def counted(df, name):
+        out = write(df, name)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(omh, "table", counted)
+    base = prose(15, 80)
+    texts = [f"{base} new{k}" if k % 2 else prose(k, 40) for k in range(60)] + [prose(k, 40) for k in range(60)]
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {x.doc_id: x.class_id for x in omh.classes(docs(spark, texts)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {k: 1 if k < 60 and k % 2 else k - 60 if k >= 60 and k % 2 == 0 else k for k in range(120)}
+    small = {name: n for name, n in files.items() if re.fullmatch("nodes|rows|buckets|needed|first-.*|labelled|mixed|class-ids", name)}
+    assert len(small) >= 10 and max(small.values()) <= spark.sparkContext.defaultParallelism, files
+
+
 def test_classes_are_those_of_all_pairs(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(x.doc_id, omh.numbers(omh.words(x.text))) for x in d.collect()]
