@@ -424,6 +424,32 @@ def test_lines(spark):
 
 # 6 byte-level BPE
 
+def test_words_are_found_as_the_regex_library_finds_them(monkeypatch):
+    every = [chr(c) for c in range(0x11000) if not 0xD800 <= c < 0xE000]
+    texts = [t for t in ODD if t] + ["".join(every[:0xF800]), " ".join(every[:0xF800]), "".join(every), "a".join(every[:0xF800]), "1 ".join(every)]
+    random.Random(8).shuffle(every)
+    texts += ["".join(every), "".join(c for c in every if c < "\U00010000")]
+    for pattern in (P.PATTERN, r"[^\s\p{N}]+|\p{N}|\s+", r"\p{Lu}+|(?i:'s)|[^\p{Lu}]"):
+        find, want = bpe.finder(pattern), bpe.regex.compile(bpe.spelled_out(pattern)).findall
+        assert all(find(t) == want(t) for t in texts)
+    # the slower library is only for characters beyond U+FFFF
+    bpe.finder.cache_clear()
+    monkeypatch.setattr(bpe.regex, "compile", lambda pattern: re.compile("(?!)"))
+    assert bpe.finder(P.PATTERN)("it's 2 é") == ["it", "'s", " 2", " é"] and bpe.finder(P.PATTERN)("\U0001F642") == []
+    bpe.finder.cache_clear()
+
+
+def test_words_are_counted_in_a_part_of_the_texts(spark):
+    d = docs(spark, [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(400)] + [None, ""])
+    seen = bpe.counts(d, P.PATTERN).where("word like 'word%'").count()
+    assert 400 / bpe.COUNT_OF / 2 < seen < 400 / bpe.COUNT_OF * 2
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {r.doc_id: r.ids_sha256 for r in bpe.report(d, path, P.PATTERN).collect()}
+    assert got == {r.doc_id: sha(" ".join(map(str, library.encode_ordinary(r.text or "")))) for r in d.collect()}
+
+
 @pytest.mark.parametrize("remembered", [0, 500])
 def test_bpe_round_trip(spark, remembered):
     path = P.path("byte_bpe_50k.tiktoken")
