@@ -38,6 +38,14 @@ def test_greedy_units_are_one_to_one(spark):
     assert {(r.unit_a, r.unit_b) for r in trains.greedy_units(scores).collect()} == {(1, 1), (2, 2)}
 
 
+def test_greedy_units_plan_does_not_grow_with_the_rounds(spark):
+    # a chain of falling agreement, of which each round takes one pair
+    chain = [(i, j, 1 - 0.05 * (i + j)) for i in range(5) for j in (i - 1, i) if j >= 0]
+    got = trains.greedy_units(spark.createDataFrame(chain, "unit_a int, unit_b int, agreement double"))
+    assert {(r.unit_a, r.unit_b) for r in got.collect()} == {(i, i) for i in range(5)}
+    assert len(got._jdf.queryExecution().analyzed().toString().splitlines()) < 10
+
+
 def cloud(spark):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(0, 1, (60, 3)), rng.normal(8, 1, (40, 3))])
