@@ -88,6 +88,13 @@ def test_nearest_of_all_groups_with_ties(spark):
         assert got == {i: [j for j in np.lexsort((np.arange(n), d[i])) if j != i][:5] for i in range(n)}
 
 
+def test_communities_come_from_all_points(spark):
+    """Threes of near points, more than any sample held: with some left out, threes would fall to others."""
+    df = spark.range(20_400).selectExpr("id", "array(10.0D * (id div 3) + id % 3, 0.0D) as x")
+    got = clusters.label_propagation(df, 2).groupBy("label").agg({"id": "max", "label": "count"}).toDF("label", "last", "n").collect()
+    assert len(got) == 6_800 and {r.n for r in got} == {3} and all(r.last == 3 * r.label + 2 for r in got)
+
+
 def test_driver_gets_links_not_distances(spark):
     df = spark.range(4_000).selectExpr("id", "array(sin(id), cos(3 * id), sin(7 * id)) as x")
     tracemalloc.start()
